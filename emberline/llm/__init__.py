@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The module of each query.
 MODULES = {
+    "op1_secret_scan": "secret_scan",
+    "op2_fingerprints": "fingerprints",
     "op3_best_fit_packing": "packing",
+    "op4_warc_index": "warc",
     "op5_bpe_codec": "token_codec",
     "op8_orc_token_ids": "orc_tokens",
+    "op9_substring_dedup": "substring_dedup",
 }
 
 
@@ -20,5 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__name__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    found: dict[str, str] = {}
+    for module in MODULES.values():
+        found |= getattr(import_module(f"{__name__}.{module}"), "ORACLE_SQL", {})
+    return found

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Sequence
 import regex
 
 #: Fixed values of byte-level BPE vocabularies: white space, the pre-split pattern, printable bytes.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 

@@ -72,3 +72,11 @@ def partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
 def doc_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, null text read as empty: other columns, whatever their names, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name

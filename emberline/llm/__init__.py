@@ -14,6 +14,7 @@ MODULES = {
     "op3_best_fit_packing": "packing",
     "op4_warc_index": "warc",
     "op5_bpe_codec": "token_codec",
+    "op6_ngram_jaccard_join": "ngram_join",
     "op8_orc_token_ids": "orc_tokens",
     "op9_substring_dedup": "substring_dedup",
 }

@@ -68,6 +68,14 @@ class Prefixes:
         p, s = np.uint64(MODULI[0]), self.sums[0]
         return (s[length:] + p - s[:-length]) % p * powers(0, self.n + 1)[1][: self.n + 1 - length] % p
 
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of many spans under both moduli, joined to 62 bits."""
+        out = np.zeros(len(starts), "u8")
+        for m, (s, p) in enumerate(zip(self.sums, MODULI, strict=True)):
+            h = (s[ends] + np.uint64(p) - s[starts]) % np.uint64(p) * powers(m, self.n + 1)[1][starts] % np.uint64(p)
+            out = out << np.uint64(31) | h
+        return out
+
     def sketch(self) -> np.ndarray:
         if self.n == 0:
             return np.zeros(0, "u8")

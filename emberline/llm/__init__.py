@@ -17,6 +17,7 @@ MODULES = {
     "op6_ngram_jaccard_join": "ngram_join",
     "op8_orc_token_ids": "orc_tokens",
     "op9_substring_dedup": "substring_dedup",
+    "op10_quality_rules": "quality",
 }
 
 

@@ -15,6 +15,7 @@ MODULES = {
     "op4_warc_index": "warc",
     "op5_bpe_codec": "token_codec",
     "op6_ngram_jaccard_join": "ngram_join",
+    "op7_toxicity": "toxicity",
     "op8_orc_token_ids": "orc_tokens",
     "op9_substring_dedup": "substring_dedup",
     "op10_quality_rules": "quality",

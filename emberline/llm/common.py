@@ -36,9 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_used: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _used:
+        atexit.register(_clear)
+    _used.append(path)
+    return path
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        for path in _used if spark else ():
+            drop_path(spark, path)
+    except Exception:  # the session's JVM has ended
+        return
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Temporal contact-network risk engine on Spark DataFrames."""

@@ -1,0 +1,138 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from emberline.operators import graph, propagation, reachability
+from emberline.params import PropagationParams, SearchParams, check_precision
+
+D = 86_400
+SCORES = [(0, 0.9, D), (0, 0.3, 2 * D), (1, 0.2, 5 * D), (2, 0.1, 6 * D), (2, 0.4, 3 * D), (3, 0.5, D), (4, 0.05, 9 * D), (5, 0.7, 4 * D)]
+CONTACTS = [(0, 1, 2 * D), (1, 2, 3 * D), (2, 3, 4 * D), (0, 2, 0), (3, 4, D)]
+P = PropagationParams(transmission=0.8, tol=0.1)
+
+
+def frames(spark, scores, contacts):
+    return spark.createDataFrame(scores, "user long, val double, time long"), spark.createDataFrame(contacts, "u1 long, u2 long, time long")
+
+
+def walks(scores, contacts, p, rounds=12):
+    """All valid walks, without pruning."""
+    import math
+
+    init = {}
+    for u, v, t in scores:
+        init[u] = max(init.get(u, (-1, 0)), (v, t))
+    times = {}
+    for a, b, t in contacts:
+        if a != b:
+            k = (min(a, b), max(a, b))
+            times[k] = max(times.get(k, t), t)
+    near = {}
+    for (a, b), t in times.items():
+        near.setdefault(a, {})[b] = t
+        near.setdefault(b, {})[a] = t
+    sends = lambda u, v, t: v >= init[u][0] * p.transmission * p.tol and t <= init[u][1]
+    now = set()
+    for u, around in near.items():
+        for n, ct in around.items():
+            ok = [(math.log(max(v, p.eps)) + min((t - ct) / D, 0) / p.time_const, v, -t) for x, v, t in scores if x == u and t <= ct + p.time_buffer]
+            if ok:
+                _, v, t = max(ok)
+                if sends(u, v * p.transmission, -t):
+                    now.add((u, n, v * p.transmission, -t))
+    first, out = set(now), {u: v for u, (v, _) in init.items()}
+    for _ in range(rounds):
+        for _, n, v, _ in now:
+            out[n] = max(out[n], v)
+        now = {(u, n, v * p.transmission, t) for came, u, v, t in now for n, ct in near[u].items() if n != came and t <= ct + p.time_buffer and sends(u, v * p.transmission, t)}
+    return out, first
+
+
+def test_fixture(spark):
+    scores, contacts = frames(spark, SCORES, CONTACTS)
+    hop = {(r["src"], r["dest"]): (round(r["val"], 6), r["time"]) for r in propagation.first_hop(scores, graph.directed(contacts), P).collect()}
+    assert hop == {(0, 1): (0.72, D), (0, 2): (0.72, D), (1, 2): (0.16, 5 * D), (2, 1): (0.32, 3 * D), (2, 3): (0.32, 3 * D), (3, 2): (0.4, D), (3, 4): (0.4, D)}
+    done = propagation.propagate(scores, contacts, P)
+    assert {r["user"]: round(r["exposure"], 6) for r in done.exposures.collect()} == {0: 0.9, 1: 0.72, 2: 0.72, 3: 0.576, 4: 0.4608, 5: 0.7}
+    log = done.log.first()
+    assert log["Statistics"]["StopCondition"] == "CONVERGED" and log["Statistics"]["Nodes"] == 6 and log["Statistics"]["Edges"] == 5 and log["Parameters"]["SendTolerance"] == 0.1
+    reached = {(r["source"], r["user"], r["dist"]) for r in reachability.reach(scores, graph.directed(contacts), P).collect()}
+    assert reached == {(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 3), (1, 2, 1), (2, 0, 2), (2, 1, 1), (2, 3, 1), (3, 0, 2), (3, 1, 2), (3, 2, 1), (3, 4, 1)}
+    ratio = reachability.ratio(reachability.reach(scores, graph.directed(contacts), P), scores.select("user").distinct()).first()
+    assert (ratio["actual"], ratio["ideal"]) == (8, 30)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6), st.sampled_from([0.3, 0.8, 1.0]), st.sampled_from([0.0, 0.1, 0.6, 1.0]))
+def test_equals_exhaustive_walks(spark, seed, transmission, tol):
+    rng = random.Random(seed)
+    n = rng.randint(2, 7)
+    scores = [(u, rng.choice([0.0, 0.2, 0.5, 0.5, 1.0, rng.random()]), rng.randrange(6) * D) for u in range(n) for _ in range(rng.randint(1, 3))]
+    contacts = [(a, b, rng.randrange(6) * D) for a in range(n) for b in range(n) if rng.random() < 0.3] or [(0, 1, D)]
+    p = PropagationParams(transmission=transmission, tol=tol)
+    want, first = walks(scores, contacts, p, rounds=7 if transmission == 1 or tol == 0 else 14)
+    s, c = frames(spark, scores, contacts)
+    got = {r["user"]: r["exposure"] for r in propagation.exposures(s, c, p).collect()}
+    assert got.keys() == want.keys() and all(got[u] == pytest.approx(want[u], abs=1e-12) for u in got)
+    hop = {(r["src"], r["dest"], r["val"], r["time"]) for r in propagation.first_hop(s, graph.directed(c), p).collect()}
+    assert {(a, b, round(v, 12), t) for a, b, v, t in hop} == {(a, b, round(v, 12), t) for a, b, v, t in first}
+
+
+def test_partitioning_and_order_do_not_matter(spark):
+    rng = random.Random(9)
+    scores = [(u, rng.random(), rng.randrange(9) * D) for u in range(12) for _ in range(3)]
+    contacts = [(rng.randrange(12), rng.randrange(12), rng.randrange(9) * D) for _ in range(40)]
+    s, c = frames(spark, scores, contacts)
+    one = sorted(map(tuple, propagation.exposures(s, c, P).collect()))
+    rng.shuffle(scores)
+    rng.shuffle(contacts)
+    s, c = frames(spark, scores, [(b, a, t) for a, b, t in contacts])
+    assert sorted(map(tuple, propagation.exposures(s.repartition(7), c.repartition(5), P).collect())) == one
+
+
+def test_cycle_without_decay_ends(spark):
+    s, c = frames(spark, [(0, 1.0, 0), (1, 0.1, 0), (2, 0.0, 0)], [(0, 1, D), (1, 2, D), (2, 0, D)])
+    got = {r["user"]: r["exposure"] for r in propagation.exposures(s, c, PropagationParams(transmission=1.0)).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0}
+
+
+def test_stop_conditions(spark):
+    s, c = frames(spark, [(k, 1.0 - k / 50, 0) for k in range(20)], [(k, k + 1, D) for k in range(19)])
+    stop = lambda **kw: propagation.propagate(s, c, PropagationParams(transmission=1.0, tol=0.1, **kw)).log.first()["Statistics"]
+    assert stop(max_rounds=2)["StopCondition"] == "MAX_ROUNDS" and stop(max_rounds=2)["Rounds"] == 2
+    assert stop(max_dur=1e-6)["StopCondition"] == "MAX_DURATION"
+    assert stop(early_stop=1)["StopCondition"] in ("EARLY_STOP", "CONVERGED")
+
+
+def test_bounds_and_errors(spark):
+    s, c = frames(spark, SCORES, CONTACTS)
+    assert propagation.exposures(s.limit(0), c, P).count() == 0 and propagation.exposures(s, c.limit(0), P).count() == 0
+    with pytest.raises(ValueError, match="without a score"):
+        propagation.exposures(s, c.union(spark.createDataFrame([(0, 77, 1)], c.schema)), P)
+    with pytest.raises(ValueError, match="lacks"):
+        propagation.exposures(s.drop("val"), c, P)
+    for bad in ({"transmission": 0}, {"transmission": 1.1}, {"tol": -1}, {"time_buffer": 0}, {"time_const": 0}, {"eps": 0}, {"early_stop": 0}, {"max_dur": 0}, {"max_rounds": 0}):
+        with pytest.raises(ValueError):
+            PropagationParams(**bad)
+    with pytest.raises(ValueError):
+        SearchParams(radius=0)
+    with pytest.raises(ValueError):
+        check_precision(13)
+
+
+def test_collapse_and_initial(spark):
+    _, c = frames(spark, SCORES, [(1, 2, 5), (2, 1, 3), (4, 4, 9)])
+    assert [tuple(r) for r in graph.collapse(c).collect()] == [(1, 2, 5)]
+    s, _ = frames(spark, [(0, 0.5, 3), (0, 0.5, 8), (0, 0.2, 9)], CONTACTS)
+    assert tuple(propagation.initial_scores(s).first()) == (0, 0.5, 8)
+
+
+def test_summaries(spark):
+    w = spark.createDataFrame([(1.0, 5, 2, 1, 0.1, 0.1, 0.1), (3.0, 7, 4, 3, 0.05, 0.9, 0.5)], "runtime double, messages long, nodes long, updates long, min_update double, max_update double, avg_update double")
+    r = propagation.weighted_summary(w).first()
+    assert (r["runtime"], r["messages"], r["nodes"], r["updates"]) == (3.0, 12, 6, 4) and r["avg_update"] == pytest.approx(0.4)
+    assert propagation.weighted_summary(w.withColumn("updates", w["updates"] * 0)).first()["avg_update"] == 0

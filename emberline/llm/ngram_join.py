@@ -152,7 +152,7 @@ def _roots(alike: np.ndarray) -> np.ndarray:
 
 
 def _verify(group: list[tuple], band: int, one: int, two: int, threshold: float) -> list[tuple]:
-    """group: (node, weight, places, block, set bytes). Gives (node, links, root)."""
+    """group: (node, weight, places, block, set bytes, rep). Gives (node, rep, links, root, root's rep)."""
     group = list({g[0]: g for g in sorted(group, key=lambda g: g[0])}.values())
     if len(group) < 2:
         return []
@@ -177,11 +177,11 @@ def _verify(group: list[tuple], band: int, one: int, two: int, threshold: float)
         alike &= ~((has @ has.T) > 0)
     links = alike @ np.array([g[1] for g in group], "i8")
     roots = _roots(alike)
-    return [(g[0], int(links[i]), group[roots[i]][0]) for i, g in enumerate(group) if links[i]]
+    return [(g[0], g[5], int(links[i]), group[roots[i]][0], group[roots[i]][5]) for i, g in enumerate(group) if links[i]]
 
 
 def links(docs: DataFrame, reps: DataFrame, places: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """Verified links: node, links (weight of the nodes it is linked to in one task), root."""
+    """Verified links: node, rep, links (weight of the nodes it is linked to in one task), root, root_rep."""
     wanted = places.join(reps.select("node", "rep", "weight"), "node")
     ranked = _nodes(docs).withColumn("rep", F.coalesce("doc_id", F.lit(LONG_MAX))).drop("doc_id")
     texts = ranked.join(wanted, ["node", "rep"])
@@ -189,9 +189,9 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, n: int, threshold
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            names = ["node", "weight", "places", "band", "one", "two", "block", "ngrams"]
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            for node, weight, found, text in zip(*columns(batch, "node", "weight", "places", "text"), strict=True):
+            names = ["node", "weight", "places", "band", "one", "two", "block", "ngrams", "rep"]
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+            for node, weight, found, text, rep in zip(*columns(batch, "node", "weight", "places", "text", "rep"), strict=True):
                 ngrams = ngram_set(text, n)
                 packed = np.ascontiguousarray(ngrams.astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
                 bands = [p["band"] for p in found]
@@ -199,21 +199,22 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, n: int, threshold
                     blocks = -(-p["n"] // block)
                     mine = int.from_bytes(node[:8], "big") % blocks
                     for other in range(blocks):
-                        rows.append((node, weight, bands, p["band"], min(mine, other), max(mine, other), mine, packed))
+                        rows.append((node, weight, bands, p["band"], min(mine, other), max(mine, other), mine, packed, rep))
                         size += len(packed)
                         if size > 16 << 20:
-                            yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], names=names)
+                            yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names=names)
                             rows, size = [], 0
-            yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], names=names)
+            yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names=names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, key, out = [], None, []
 
         def give() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["node", "links", "root"])
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            return pa.record_batch([pa.array([r[k] for r in out], kinds[k]) for k in range(5)], names=["node", "rep", "links", "root", "root_rep"])
 
         for batch in batches:
-            for band, one, two, *rest in zip(*columns(batch, "band", "one", "two", "node", "weight", "places", "block", "ngrams"), strict=True):
+            for band, one, two, *rest in zip(*columns(batch, "band", "one", "two", "node", "weight", "places", "block", "ngrams", "rep"), strict=True):
                 if (band, one, two) != key:
                     if key:
                         out += _verify(group, *key, threshold)
@@ -225,9 +226,9 @@ def links(docs: DataFrame, reps: DataFrame, places: DataFrame, n: int, threshold
             out += _verify(group, *key, threshold)
         yield give()
 
-    spread = texts.select("node", "weight", "places", "text").mapInArrow(sets, "node binary, weight long, places array<long>, band long, one int, two int, block int, ngrams binary")
+    spread = texts.select("node", "weight", "places", "text", "rep").mapInArrow(sets, "node binary, weight long, places array<long>, band long, one int, two int, block int, ngrams binary, rep long")
     dealt = spread.repartition(partitions(docs), "band", "one", "two").sortWithinPartitions("band", "one", "two")
-    return stage(dealt.mapInArrow(verify, "node binary, links long, root binary"), "links")
+    return stage(dealt.mapInArrow(verify, "node binary, rep long, links long, root binary, root_rep long"), "links")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
@@ -238,11 +239,13 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     found = signatures(docs, n, bands, rows)
     reps = stage(found.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(LONG_MAX)).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")), "reps")
     verified = links(docs, reps, candidates(reps), n, threshold, block)
-    roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    rooted = reps.drop("bands").join(roots, "node", "left").join(verified.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = rooted.join(classes, "root").select("node", "root", F.nullif("rep", F.lit(LONG_MAX)).alias("copy_of"), F.nullif("class_id", F.lit(LONG_MAX)).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return found.select("node", "doc_id").join(known, "node")
+    end = lambda rep, node: F.struct(F.col(rep).alias("rep"), F.col(node).alias("node"))  # noqa: E731  smallest id first, so a root holds its class's id
+    roots = components(verified.select(end("rep", "node").alias("a"), end("root_rep", "root").alias("b"))).select("node.node", "root")
+    rooted = reps.drop("bands").join(roots, "node", "left").join(verified.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    root = F.coalesce("root", end("rep", "node"))
+    known = rooted.select("node", root["node"].alias("root"), F.nullif("rep", F.lit(LONG_MAX)).alias("copy_of"), F.nullif(root["rep"], F.lit(LONG_MAX)).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # written first, so that both sides are exchanges and the rows of a text with very many copies can be split
+    return found.select("node", "doc_id").join(stage(known, "known"), "node")
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:

@@ -33,9 +33,9 @@ def haversine(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2:
     return F.lit(2.0 * EARTH_RADIUS_METERS) * F.asin(F.least(F.sqrt(x), F.lit(1.0)))
 
 
-def planar(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:
-    """Euclidean distance of the angles in radians, in metres at the equator; null or infinite ends are never near."""
-    dx, dy = F.radians(col(lat1)) - F.radians(col(lat2)), F.radians(col(lon1)) - F.radians(col(lon2))
+def planar(x1: Column | str, y1: Column | str, x2: Column | str, y2: Column | str) -> Column:
+    """Euclidean distance of angles in radians, in metres at the equator."""
+    dx, dy = col(x1) - col(x2), col(y1) - col(y2)
     return F.lit(float(EARTH_RADIUS_METERS)) * F.sqrt(dx * dx + dy * dy)
 
 

@@ -21,6 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys into the session's number of shuffle partitions. Adaptive execution merges partitions by their bytes
+    and would give a small table that a join multiplies to one task; a number that is named stays."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

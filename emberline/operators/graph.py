@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.expr import approx, pair_key
-from emberline.lineage import cut
+from emberline.lineage import cut, spread
 
 
 def collapse(contacts: DataFrame) -> DataFrame:
@@ -56,16 +56,15 @@ def prune(vertex: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def dense_index(users: DataFrame) -> DataFrame:
     """(user, idx) from 0 in order of user. Positions come from counts of ranges, not from one sorted task."""
-    spread = users.select("user").distinct().repartitionByRange("user").withColumn("part", F.spark_partition_id())
-    spread = cut(spread)
-    before = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(users.select("user").distinct().repartitionByRange("user").withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     other = before.select(F.col("part").alias("low"), F.col("n").alias("m"))
     # as many rows as ranges on either side
     offset = before.join(F.broadcast(other), F.col("low") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("part").orderBy("user"))
-    return spread.withColumn("rank", rank).join(F.broadcast(offset), "part").select("user", (F.col("offset") + F.col("rank") - 1).alias("idx"))
+    return ranged.withColumn("rank", rank).join(F.broadcast(offset), "part").select("user", (F.col("offset") + F.col("rank") - 1).alias("idx"))
 
 
 def one_mode_projection(memberships: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def one_mode_projection(memberships: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(source, user, dist) of users other than the source, by levels: each level is one join, one distinct and one
     anti-join with what was reached before."""
-    arcs = cut(edges.select("src", "dest").distinct())
+    arcs = cut(spread(edges.select("src", "dest").distinct(), "src"))
     start = (vertices(edges) if sources is None else sources.select("user")).distinct().select(F.col("user").alias("source"), "user", F.lit(0).alias("dist"))
     seen = frontier = cut(start)
     hop = 0

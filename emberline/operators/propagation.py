@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.expr import score_weight
-from emberline.lineage import cut
+from emberline.lineage import cut, spread
 from emberline.operators.graph import directed
 from emberline.params import SEC_PER_DAY, PropagationParams
 from emberline.schema import CONTACTS, SCORES, check_columns, check_users
@@ -53,7 +53,7 @@ def best_scores(scores: DataFrame, edges: DataFrame, p: PropagationParams) -> Da
     later = F.when(is_score, F.struct(F.col("val").alias("w"), F.col("val"), (-F.col("at")).alias("t")))
     by_user = Window.partitionBy("src").orderBy("at")
     past, buffer = by_user.rangeBetween(Window.unboundedPreceding, 0), by_user.rangeBetween(1, p.time_buffer)
-    found = rows.withColumn("past", F.max(older).over(past)).withColumn("later", F.max(later).over(buffer)).where("kind = 1")
+    found = spread(rows, "src").withColumn("past", F.max(older).over(past)).withColumn("later", F.max(later).over(buffer)).where("kind = 1")
 
     def ranked(side: str):
         val, at = F.col(f"{side}.val"), -F.col(f"{side}.t")
@@ -89,7 +89,8 @@ def undominated(messages: DataFrame) -> DataFrame:
     """messages (src, dest, val, time, round) without those that others at the same user make useless."""
     by_edge = Window.partitionBy("dest", "src").orderBy("time", F.desc("val"), "round").rowsBetween(Window.unboundedPreceding, -1)
     by_user = Window.partitionBy("dest").orderBy("time", F.desc("val"), "src").rowsBetween(Window.unboundedPreceding, -1)
-    alone = messages.withColumn("top", F.max("val").over(by_edge)).where("top is null or val > top")
+    # one exchange serves all three windows
+    alone = spread(messages, "dest").withColumn("top", F.max("val").over(by_edge)).where("top is null or val > top")
     first = alone.withColumn("top", F.max("val").over(by_user)).withColumn("layer", F.when(F.col("top").isNull() | (F.col("val") > F.col("top")), 1).otherwise(2))
     second = first.withColumn("top", F.max(F.when(F.col("layer") == 2, F.col("val"))).over(by_user))
     return second.where("layer = 1 or top is null or val > top").select("src", "dest", "val", "time", "round")
@@ -110,12 +111,12 @@ def propagate(scores: DataFrame, contacts: DataFrame, p: PropagationParams | Non
     began = time.time()
     scores = scores.select("user", "val", "time")
     edges = cut(directed(contacts))
-    if scores.isEmpty() or edges.isEmpty():
+    if scores.isEmpty() or contacts.isEmpty():
         empty = spark.createDataFrame([], "user long, init_val double, exposure double")
         return Propagated(empty, _log(spark, empty, p, began, 0, 0, "EMPTY"))
     if validate:
         check_users(scores, edges)
-    limited = cut(limits(scores, edges, p))
+    limited = cut(spread(limits(scores, edges, p), "src"))
     state = cut(undominated(first_hop(scores, edges, p).withColumn("round", F.lit(1))))
     messages, rounds, stale, stop = state.count(), 1, 0, "CONVERGED"
     best = None

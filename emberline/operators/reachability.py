@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.lineage import cut
+from emberline.lineage import cut, spread
 from emberline.operators.propagation import initial_scores, limits
 from emberline.params import PropagationParams
 
@@ -13,12 +13,12 @@ from emberline.params import PropagationParams
 def reach(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(source, user, dist) by levels. The value at a level follows from the source's by repeated attenuation, so
     the frontier is deduplicated on (source, user) alone."""
-    arcs = cut(limits(scores, edges, p))
+    arcs = cut(spread(limits(scores, edges, p), "src"))
     start = initial_scores(scores)
     if sources is not None:
         start = start.join(sources.select("user").distinct(), "user", "left_semi")
     frontier = cut(start.select(F.col("user").alias("source"), "user", F.col("init_val").alias("val"), F.col("init_time").alias("time"), F.lit(0).alias("dist")))
-    seen = frontier.select("source", "user", "dist")
+    seen = cut(spread(frontier.select("source", "user", "dist"), "source", "user"))
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1

@@ -58,7 +58,7 @@ class SearchParams:
     min_dur: int = 900
     radius: float = 1e-4
     tol: float = 200.0
-    bucket: int = 21_600
+    bucket: int = 43_200
 
     def __post_init__(self) -> None:
         _require(is_whole(self.min_dur) and self.min_dur >= 0, "min_dur must be a whole number of 0 or more")

@@ -1,7 +1,7 @@
 """Operator 7: toxic spans by a linear-chain conditional random field, and document scores from them.
 
 Labels say only whether a document is toxic, so tokens get labels first: over TRAIN_DOCS training
-documents at most (smallest hash of the id first), words and their prefixes are counted by label, and
+documents at most (smallest hash of the id first; of near copies one), words and their prefixes are counted by label, and
 those that occur nearly only in toxic documents form the lexicon. In toxic documents tokens with a
 lexicon feature are labelled 1. The field has two states, weights for lexicon features and one for
 any other token, and transitions; it is trained by gradient ascent on the windows around lexicon
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import small_batches, table
+from emberline.llm.common import small_batches, stage, table
+from emberline.llm.ngram_join import ngram_set
 from emberline.llm.tokens import columns
 
 TRAIN_DOCS, LEXICON = 20_000, 4000
@@ -37,6 +38,7 @@ PREFIXES = (5, 6, 7)
 MIN_TOXIC, MIN_LOG_ODDS = 5, 2.5
 CONTEXT, SPAN, PREDICTED = 3, 0.5, 0.3
 CACHE = 500_000
+MIX = np.uint64(0x5A3C96E1B7D2)
 _word = re.compile(r"\w+")
 
 
@@ -49,10 +51,24 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, toxic, text) of the sample that is learnt from; its ids are broadcast."""
+    """(doc_id, toxic, text) of the sample that is learnt from, without near copies; its ids are broadcast."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, toxic, texts = columns(batch, "doc_id", "toxic", "text")
+            keys = []
+            for text in texts:
+                ngrams = ngram_set(text)
+                keys.append([int(x) for x in (ngrams[0], (ngrams ^ MIX).min())] if len(ngrams) else [-1, -1])
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "toxic", "one", "two"])
+
+    slim = rows.select("doc_id", "toxic", "text").mapInArrow(sketched, "doc_id long, toxic int, one long, two long")
+    for key in ("one", "two"):  # of near copies, which share a smallest n-gram, one is learnt from
+        slim = slim.groupBy(key, "toxic").agg(F.min(F.struct("doc_id", "one", "two")).alias("row")).select("row.*", "toxic")
+    return rows.join(F.broadcast(stage(slim.select("doc_id"), "training")), "doc_id", "left_semi")
 
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, int]]:
@@ -170,8 +186,9 @@ class Tagger:
         a, b, c = self.calibration
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * math.log1p(total) + c * most))))
 
-    def train(self, windows: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> None:
-        """windows: features and labels of their tokens. Gradient of the conditional log-likelihood with momentum."""
+    def train(self, windows: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-6) -> None:
+        """windows: features and labels of their tokens. Ascent on the conditional log-likelihood, each step scaled by
+        the size of the weight's own past gradients, so that rare features are learnt as well."""
         by_length: dict[int, list] = {}
         for w in windows:
             by_length.setdefault(len(w[0]), []).append(w)
@@ -187,9 +204,9 @@ class Tagger:
             packed.append((n, y, np.array(rows, "i8"), np.array(cols, "i8"), has))
         total = sum(y.size for _, y, *_ in packed) or 1
         theta = np.concatenate([self.emit, [self.bias, self.rest], self.trans.ravel()])
-        speed = np.zeros_like(theta)
+        mean, square = np.zeros_like(theta), np.zeros_like(theta)
         k = len(self.emit)
-        for _ in range(rounds):
+        for step in range(1, rounds + 1):
             grad = -decay * theta
             emit, bias, rest, trans = theta[:k], theta[k], theta[k + 1], np.exp(theta[k + 2 :].reshape(2, 2))
             for n, y, rows, cols, has in packed:
@@ -216,8 +233,8 @@ class Tagger:
                     for i in (0, 1):
                         for j in (0, 1):
                             grad[k + 2 + 2 * i + j] += (((y[:, t] == i) & (y[:, t + 1] == j)).sum() - pair[:, i, j].sum()) / total
-            speed = 0.9 * speed + rate * grad
-            theta = theta + speed
+            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
+            theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         self.emit, self.bias, self.rest, self.trans = theta[:k], float(theta[k]), float(theta[k + 1]), theta[k + 2 :].reshape(2, 2)
 
     def calibrate(self, totals: np.ndarray, most: np.ndarray, toxic: np.ndarray) -> None:

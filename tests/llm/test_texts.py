@@ -239,7 +239,7 @@ def test_marginals_equal_enumeration():
 
 def test_training_raises_the_likelihood():
     tagger = toxicity.Tagger({"bad": 0, "fine": 1})
-    tagger.train([([(), (0,), ()], [0, 1, 0]), ([(), (1,), (0,)], [0, 0, 1])] * 20)
+    tagger.train([([(), (0,), ()], [0, 1, 0]), ([(), (1,), (0,)], [0, 0, 1]), ([(), (), (1,), ()], [0, 0, 0, 0])] * 20)
     assert tagger.emit[0] > tagger.emit[1]
     p = tagger.marginals(*tagger.active("a bad day fine"))
     assert p[0] > 0.5 > p[1]
@@ -249,7 +249,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows, labels = [], []
     for k in range(400):
         toxic = k % 3 == 0
-        rows.append((k, f"some words number {k % 7} about the weather " * 5 + ("you vile grumbler " if toxic else "you kind neighbour ") + "today"))
+        rng = np.random.default_rng(k)
+        rows.append((k, " ".join(f"w{x}" for x in rng.integers(0, 40, 30)) + (" you vile grumbler " if toxic else " you kind neighbour ") + "today"))
         labels.append((k, 1, int(toxic)))
     rows += [(1000, None), (1001, ""), (None, "vile grumbler"), (3, rows[3][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", toxicity.F.lit("x"))

@@ -136,27 +136,38 @@ def _compare(doc_id, text: str, mine: Fingerprint, following: str, theirs: Finge
     )
 
 
-def _deal(docs: DataFrame, parts: int) -> tuple[DataFrame, dict[int, int]]:
+def _deal(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (doc_id, text, order, bucket, extra): extra rows are copies of the first row of the next range."""
     keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MAX)).alias("order"))
     bounds = np.unique(np.array(keyed.approxQuantile("order", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], "f8"))
 
+    def bucket_of(order) -> np.ndarray:
+        return np.searchsorted(bounds, order.to_numpy().astype("f8"), side="right").astype("i4")
+
     @F.pandas_udf("int")
-    def bucket_of(order):
+    def bucket(order):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, order.to_numpy().astype("f8"), side="right").astype("i4"))
+        return pd.Series(bucket_of(order))
 
-    first = {r["bucket"]: r["first"] for r in keyed.select("order").withColumn("bucket", bucket_of("order")).groupBy("bucket").agg(F.min("order").alias("first")).collect()}
+    first = {r["bucket"]: r["first"] for r in keyed.select("order").withColumn("bucket", bucket("order")).groupBy("bucket").agg(F.min("order").alias("first")).collect()}
     filled = sorted(first)
-    before = {first[b]: filled[k - 1] for k, b in enumerate(filled)}  # the range before the first one is the last one
-    dealt = keyed.withColumn("bucket", bucket_of("order"))
-    if not first:
-        return dealt.withColumn("extra", F.lit(0)), first
-    own = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("order")]
-    places = F.when(F.col("order").isin(list(before)), F.array(own, F.struct(to.cast("int").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    return dealt.withColumn("place", F.explode(places)).select("doc_id", "text", "order", "place.bucket", "place.extra"), first
+    starts = np.array([first[b] for b in filled], "i8")
+    before = np.array([filled[k - 1] for k in range(len(filled))], "i4")  # the range before the first one is the last one
+
+    @F.pandas_udf("struct<bucket:int,to:int>")
+    def placed(order):
+        """A row's range, and where a copy goes if the row begins its range, else -1."""
+        import pandas as pd
+
+        at = np.minimum(np.searchsorted(starts, order.to_numpy()), max(len(starts) - 1, 0))
+        to = np.where(starts[at] == order.to_numpy(), before[at], -1) if len(starts) else np.full(len(order), -1)
+        return pd.DataFrame({"bucket": bucket_of(order), "to": to.astype("i4")})
+
+    dealt = keyed.withColumn("at", placed("order"))
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(0).alias("extra"))
+    places = F.when(F.col("at.to") >= 0, F.array(own, F.struct(F.col("at.to").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    return dealt.withColumn("place", F.explode_outer(places)).select("doc_id", "text", "order", "place.bucket", "place.extra")
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -164,7 +175,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     small_batches(docs.sparkSession)
     n = parts or partitions(docs)
-    dealt, _ = _deal(docs, 4 * n)
+    dealt = _deal(docs, 4 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]

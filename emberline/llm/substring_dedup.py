@@ -8,7 +8,7 @@ points of the original text, end exclusive.
 
 Only units of which the digest occurs twice or more are joined with the first occurrence; the join
 is on the digest, and a digest that holds many rows is split by Spark's skew join as the other side
-has one row for it. No group is collected: the list gathered per document is of its own units.
+has one row for it, and is written first so that it is exchanged too. No group is collected: the list gathered per document is of its own units.
 
 Null and empty texts have no units. Rows equal in doc_id and text count as one document and are
 treated alike. A null doc_id ranks last.
@@ -67,7 +67,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     units = stage(_units(keyed, min_words), "units")
-    many = units.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_key", "i")).alias("_first")).where("_n > 1").select("digest", "_first")
+    counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_key", "i")).alias("_first"))
+    many = stage(counted.where("_n > 1").select("digest", "_first"), "repeated")
     later = units.join(many, "digest").where(F.struct("_doc", "_key", "i") > F.col("_first"))
     spans = later.groupBy("_doc", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     return keyed, spans

@@ -110,7 +110,7 @@ def propagate(scores: DataFrame, contacts: DataFrame, p: PropagationParams | Non
     spark = scores.sparkSession
     began = time.time()
     scores = scores.select("user", "val", "time")
-    edges = cut(directed(contacts))
+    edges = cut(spread(directed(contacts), "src"))
     if scores.isEmpty() or contacts.isEmpty():
         empty = spark.createDataFrame([], "user long, init_val double, exposure double")
         return Propagated(empty, _log(spark, empty, p, began, 0, 0, "EMPTY"))

@@ -30,7 +30,7 @@ from emberline.llm.fingerprints import Prefixes
 from emberline.llm.tokens import columns
 
 N, THRESHOLD = 5, 0.8
-RECALL, MAX_HASHES = 0.9999, 128
+RECALL, MAX_HASHES = 0.999999, 128
 BLOCK = 256
 _M64 = (1 << 64) - 1
 

@@ -1,9 +1,10 @@
-"""Operator 9: removal of repeated passages by hashing units of lines.
+"""Operator 9: removal of repeated passages by hashing paragraphs, lines and sentences.
 
-A line is cut after each run of full stops, exclamation or question marks, since shared passages
-also stand inside longer lines. A unit is normalised (white space runs to one space, lower case)
-and hashed if it has MIN_WORDS words or more. Digests are counted over the whole corpus; of equal
-units the one earliest by (doc_id, text hash, position) stays, the others go. Offsets are code
+Units are paragraphs (between blank lines) and lines, each with a letter or digit, and pieces of
+MIN_WORDS words or more of a line cut after each run of full stops, exclamation or question marks,
+since shared passages also stand inside longer lines. A unit is normalised (white space runs to one
+space, lower case) and hashed. Digests are counted over the whole corpus; of equal units the one
+earliest by (doc_id, text hash, position) stays, the union of the others goes. Offsets are code
 points of the original text, end exclusive.
 
 Only units of which the digest occurs twice or more are joined with the first occurrence; the join
@@ -28,18 +29,44 @@ from emberline.llm.common import LONG_MAX, small_batches, stage, table
 from emberline.llm.tokens import columns
 
 MIN_WORDS = 6
-_unit = re.compile(r"[^.!?\n]+[.!?]*")
+_piece = re.compile(r"[^.!?\n]+[.!?]*")
+_line = re.compile(r"[^\n]+")
+_blank = re.compile(r"\n\s*\n")
 UNITS = "_doc long, _key long, i int, start int, end int, digest binary"
+SPANS = "_doc long, _key long, _spans array<struct<start:int,end:int>>"
 
 
 def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of the units of a text that are long enough."""
-    out = []
-    for m in _unit.finditer(text):
-        words = m[0].split()
-        if len(words) >= min_words:
-            lead = len(m[0]) - len(m[0].lstrip())
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), " ".join(words).lower()))
+    """(start, end, normalised) of the units of a text by place; units of one place count once."""
+    found: dict[tuple[int, int], str] = {}
+
+    def add(s: int, e: int, least: int) -> None:
+        part = text[s:e]
+        words = part.split()
+        if len(words) >= least and (least > 1 or any(map(str.isalnum, part))):
+            lead = len(part) - len(part.lstrip())
+            found[s + lead, s + len(part.rstrip())] = " ".join(words).lower()
+
+    at = 0
+    for m in _blank.finditer(text):
+        add(at, m.start(), 1)
+        at = m.end()
+    add(at, len(text), 1)
+    for m in _line.finditer(text):
+        add(*m.span(), 1)
+    for m in _piece.finditer(text):
+        add(*m.span(), min_words)
+    return [(*place, unit) for place, unit in sorted(found.items())]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, by start."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
     return out
 
 
@@ -62,6 +89,14 @@ def _units(keyed: DataFrame, min_words: int) -> DataFrame:
     return keyed.select("_doc", "_key", "_text").mapInArrow(run, UNITS)
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        (found,) = columns(batch, "_spans")
+        union = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in spans])] for spans in found]
+        yield batch.select(["_doc", "_key"]).append_column("_spans", pa.array(union, kind))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and for each with something to remove: n_removed and the spans by position."""
     small_batches(docs.sparkSession)
@@ -70,8 +105,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_key", "i")).alias("_first"))
     many = stage(counted.where("_n > 1").select("digest", "_first"), "repeated")
     later = units.join(many, "digest").where(F.struct("_doc", "_key", "i") > F.col("_first"))
-    spans = later.groupBy("_doc", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    return keyed, spans
+    spans = later.groupBy("_doc", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    return keyed, spans.mapInArrow(_union, SPANS)
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -164,6 +164,21 @@ def test_without_keeps_lines():
     assert substring_dedup.without(text, [(0, 8), (10, 21)]) == "\nFive six.\nSeven."
 
 
+def test_repeated_lines_and_paragraphs_go_whole(spark):
+    lines = ["Yes. No. See e.g. 3.14 and v1.2 at https://a.example/x.y today.", "Short line", "---"]
+    rows = [(k, f"Number {k} alone\n\n" + "\n".join(lines) + f"\n\nEnd {k} here") for k in range(2)]
+    rows += [(7, "one two\n  three FOUR  \n\nmore"), (8, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.removed(docs).collect()}
+    passage = "\n".join(lines)
+    start = rows[1][1].index(passage)
+    assert got[0]["removed"] == got[7]["removed"] == ""
+    assert got[1]["removed"] == f"{start}:{start + len(passage)}" and got[1]["removed_chars"] == len(passage)
+    assert got[8]["removed"] == "0:18"
+    clean = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs).collect()}
+    assert all(x not in clean[1] for x in lines) and clean[0] == rows[0][1]
+
+
 # --- 10 ---
 
 

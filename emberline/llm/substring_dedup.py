@@ -7,9 +7,18 @@ space, lower case) and hashed. Digests are counted over the whole corpus; of equ
 earliest by (doc_id, text hash, position) stays, the union of the others goes. Offsets are code
 points of the original text, end exclusive.
 
-Only units of which the digest occurs twice or more are joined with the first occurrence; the join
-is on the digest, and a digest that holds many rows is split by Spark's skew join as the other side
-has one row for it, and is written first so that it is exchanged too. No group is collected: the list gathered per document is of its own units.
+A shorter piece is joined with those after it, and with those before it, up to MIN_WORDS words.
+Passages that no unit holds are found by windows of WINDOW words, each word of a text beginning one:
+every run of WINDOW words or more that stands earlier goes, whatever its first and last sentences
+are. To make few rows, a window is represented by the smallest hash of its runs of GRAM words, which
+equal windows have in common; only windows whose smallest hash occurs twice, and that lie in no unit
+to remove, are hashed in full and counted like units. Where a repeat overlaps its first occurrence,
+the first occurrence stays whole.
+
+Only digests that occur twice or more are joined with the first occurrence; the join is on the
+digest, and a digest that holds many rows is split by Spark's skew join as the other side has one
+row for it, and is written first so that it is exchanged too. No group is collected: the lists
+gathered per document are of its own units and windows.
 
 Null and empty texts have no units. Rows equal in doc_id and text count as one document and are
 treated alike. A null doc_id ranks last.
@@ -21,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +39,11 @@ from emberline.llm.common import LONG_MAX, small_batches, stage, table
 from emberline.llm.tokens import columns
 
 MIN_WORDS = 6
+WINDOW, GRAM = 16, 6
+HELD_WORDS = 600_000
+_bases = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], "u8")
 _piece = re.compile(r"[^.!?\n]+[.!?]*")
+_word = re.compile(r"\S+")
 _line = re.compile(r"[^\n]+")
 _blank = re.compile(r"\n\s*\n")
 UNITS = "_doc long, _key long, i int, start int, end int, digest binary"
@@ -54,8 +68,17 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]
     add(at, len(text), 1)
     for m in _line.finditer(text):
         add(*m.span(), 1)
-    for m in _piece.finditer(text):
-        add(*m.span(), min_words)
+        pieces = [(m.start() + p.start(), m.start() + p.end(), len(p[0].split())) for p in _piece.finditer(m[0])]
+        for k, (s, e, n) in enumerate(pieces):
+            add(s, e, min_words)
+            if 0 < n < min_words:
+                for side in (range(k + 1, len(pieces)), range(k - 1, -1, -1)):
+                    total = n
+                    for j in side:
+                        total += pieces[j][2]
+                        if total >= min_words:
+                            add(min(s, pieces[j][0]), max(e, pieces[j][1]), min_words)
+                            break
     return [(*place, unit) for place, unit in sorted(found.items())]
 
 
@@ -89,6 +112,96 @@ def _units(keyed: DataFrame, min_words: int) -> DataFrame:
     return keyed.select("_doc", "_key", "_text").mapInArrow(run, UNITS)
 
 
+_held: dict[str, bytes] = {}
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of each word in lower case."""
+    missing = set(words).difference(_held)
+    if len(_held) + len(missing) > HELD_WORDS:
+        _held.clear()
+        missing = set(words)
+    for w in missing:
+        _held[w] = hashlib.blake2b(w.lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return np.frombuffer(b"".join(map(_held.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
+def _runs(hashes: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.zeros(len(hashes) - n + 1, "u8")
+    for j in range(n):
+        out = out * base + hashes[j : j + len(out)]
+    return out
+
+
+def _smallest(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the place of the smallest hash of a run of GRAM words, and the hashes of all runs."""
+    runs = _runs(hashes[:, 0], GRAM, _bases[0])
+    view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - GRAM + 1)
+    return np.arange(len(view)) + view.argmin(axis=1), runs.view("i8")
+
+
+def _anchors(keyed: DataFrame) -> DataFrame:
+    """(_id, anchor): the smallest hashes that represent a document's windows, once for each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+            for key, text in zip(*columns(batch, "_id", "_text"), strict=True):
+                words = text.split()
+                if len(words) >= WINDOW:
+                    places, runs = _smallest(_word_hashes(words))
+                    found.append(runs[np.unique(places)])
+                    ids.append(np.full(len(found[-1]), key, "i8"))
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["_id", "anchor"])
+
+    return keyed.select(_id(), "_text").mapInArrow(run, "_id long, anchor long")
+
+
+def _id():
+    return F.xxhash64("_doc", "_key").alias("_id")
+
+
+def windows_of(text: str, anchors: list[int], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Place, start, end and digest of the windows that have one of the anchors and lie in none of the spans."""
+    words = text.split()
+    if len(words) < WINDOW:
+        return np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "i4"), []
+    hashes = _word_hashes(words)
+    places, runs = _smallest(hashes)
+    at = np.flatnonzero(np.isin(runs[places], np.array(anchors, "i8")))
+    bounds = np.array([m.span() for m in _word.finditer(text)], "i4")
+    start, end = bounds[at, 0], bounds[at + WINDOW - 1, 1]
+    if spans:
+        held = np.array(sorted(spans), "i4")
+        k = np.searchsorted(held[:, 0], start, "right") - 1
+        free = (k < 0) | (np.maximum.accumulate(held[:, 1])[k] < end)
+        at, start, end = at[free], start[free], end[free]
+    both = np.stack([_runs(hashes[:, x], WINDOW, _bases[x])[at] for x in (0, 1)], axis=1).astype("<u8").tobytes()
+    return at.astype("i4"), start, end, [both[k : k + 16] for k in range(0, len(both), 16)]
+
+
+def _windows(near: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, text, anchors, spans in zip(*columns(batch, "_doc", "_key", "_text", "_anchors", "_spans"), strict=True):
+                i, start, end, digests = windows_of(text, anchors, [(x["start"], x["end"]) for x in spans or ()])
+                if len(i):
+                    yield pa.record_batch([pa.array(np.full(len(i), doc, "i8")), pa.array(np.full(len(i), key, "i8")), pa.array(i), pa.array(start), pa.array(end), pa.array(digests, pa.binary())], names=["_doc", "_key", "i", "start", "end", "digest"])
+
+    return near.select("_doc", "_key", "_text", "_anchors", "_spans").mapInArrow(run, UNITS)
+
+
+def _later(units: DataFrame) -> DataFrame:
+    """The spans of units that have an earlier occurrence, without what overlaps the first."""
+    place = F.struct("_doc", "_key", "i", "start", "end")
+    counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    many = stage(counted.where("_n > 1").select("digest", "_first"), "repeated")
+    same = (F.col("_doc") == F.col("_first._doc")) & (F.col("_key") == F.col("_first._key"))
+    start = F.when(same, F.greatest("start", "_first.end")).otherwise(F.col("start"))
+    return units.join(many, "digest").where(place > F.col("_first")).select("_doc", "_key", start.alias("start"), "end").where("start < end")
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
@@ -98,15 +211,17 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and for each with something to remove: n_removed and the spans by position."""
+    """The keyed documents, and for each with something to remove the spans by position."""
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    units = stage(_units(keyed, min_words), "units")
-    counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_key", "i")).alias("_first"))
-    many = stage(counted.where("_n > 1").select("digest", "_first"), "repeated")
-    later = units.join(many, "digest").where(F.struct("_doc", "_key", "i") > F.col("_first"))
-    spans = later.groupBy("_doc", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    return keyed, spans.mapInArrow(_union, SPANS)
+    gather = lambda spans: spans.groupBy("_doc", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    of_units = stage(_later(stage(_units(keyed, min_words), "units")), "spans")
+    anchors = stage(_anchors(keyed), "anchors")
+    shared = stage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "shared")
+    by_doc = anchors.join(shared, "anchor").groupBy("_id").agg(F.collect_set("anchor").alias("_anchors"))
+    near = keyed.select("_doc", "_key", "_text", _id()).join(by_doc, "_id").join(gather(of_units), ["_doc", "_key"], "left")
+    of_windows = _later(stage(_windows(near), "windows"))
+    return keyed, gather(of_units.unionByName(of_windows)).mapInArrow(_union, SPANS)
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

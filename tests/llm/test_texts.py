@@ -179,6 +179,19 @@ def test_repeated_lines_and_paragraphs_go_whole(spark):
     assert all(x not in clean[1] for x in lines) and clean[0] == rows[0][1]
 
 
+def test_passages_in_foreign_lines_go_whole(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    long, short = words(60), ". ".join(words(2) for _ in range(5)) + "."
+    texts = [f"{words(20)} {long} {words(20)}", f"{words(9)} {long} {words(9)}.", f"{words(9)}. {short} {words(9)}", f"{words(7)}. {short} {words(8)}", "the " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs).collect()}
+    assert clean[0] == texts[0] and clean[2] == texts[2]
+    assert not set(long.split()) & set(clean[1].split()) and len(clean[1].split()) == 18
+    assert short not in clean[3] and len(clean[3].split()) == 15
+    assert substring_dedup.WINDOW <= len(clean[4].split()) < 30
+
+
 # --- 10 ---
 
 

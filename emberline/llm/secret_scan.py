@@ -101,9 +101,6 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         value = m[group]
         if e - s < MIN_VALUE or any(b[0] < e and s < b[2] for b in base):
             continue
-        mixed = sum(any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-        if mixed < 2 or value.startswith(("http:", "https:", "${", "<")):  # ordinary words and placeholders
-            continue
         cost = guess_log10(value)
         if cost >= MIN_LOG10:
             out.append((s, 3, e, cost))

@@ -82,6 +82,12 @@ def test_redact(nasty, empty):
     assert secret_scan.redact(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["pwd: kqzvxwplmtrbnydf", "auth = 4829157301648829", "Bearer qmzkvjxwplhtrbnydfgc", "auth: https://user:password@host", "pwd: ${kqzvxwplmtrbnydf"])
+def test_cost_alone_decides(text):
+    _, added = secret_scan.scan_text(text)
+    assert [text[s:e] for s, _, e, _ in added] == [text.split()[-1]]
+
+
 # --- 2 ---
 
 

@@ -13,10 +13,12 @@ empty texts have no spans. Added spans never overlap base spans.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,19 @@ KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 #: The method: where values stand, and what guessers try first.
 CONTEXT = re.compile(r"""(?:(?<![A-Za-z])(?:pwd|pass|passphrase|passcode|passwort|contraseña|mot de passe|credentials?|auth|private[_ -]?key|access[_ -]?key|client[_ -]?secret)|password|passwd|secret|token|api[_ -]?key)["']?\x20*(?:[:=]|\bis\b)\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))|\b[bB]earer\x20+([A-Za-z0-9+/_.=~-]+)""", re.IGNORECASE)
 CONTEXT_WORDS = ("pwd", "pass", "contraseña", "credential", "auth", "key", "secret", "token", "bearer")
-WORDS = ["password", "admin", "welcome", "letmein", "secret", "token", "default", "changeme", "dragon", "monkey", "master", "login", "hello", "test", "user", "root", "guest", "shadow", "sunshine", "football", "love", "example", "none", "null", "true", "false", "your", "here", "key", "the", "and", "that", "this", "with"]
+FIRST = ["password", "admin", "welcome", "letmein", "secret", "token", "default", "changeme", "dragon", "monkey", "master", "login", "hello", "test", "user", "root", "guest", "shadow", "sunshine", "football", "love", "example", "none", "null", "true", "false", "your", "here", "key", "the", "and", "that", "this", "with"]
+TRAILING = ".,;:!?)]}>"
+
+
+def _dictionary() -> list[str]:
+    """FIRST, and then the whole words of the byte-level vocabulary by rank, which falls with frequency."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (w[1:].lower() for w in sorted(vocabulary, key=vocabulary.get) if len(w) > 3 and w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha())
+    return list(dict.fromkeys([*FIRST, *whole]))
+
+
+WORDS = _dictionary()
 ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp"]
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
 MIN_VALUE, MIN_LOG10 = 8, 9.0
@@ -97,8 +111,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for m in CONTEXT.finditer(text):
         group = next(g for g in (1, 2, 3, 4) if m[g] is not None)
-        s, e = m.span(group)
-        value = m[group]
+        value = m[group] if group < 3 else m[group].rstrip(TRAILING)
+        s = m.start(group)
+        e = s + len(value)
         if e - s < MIN_VALUE or any(b[0] < e and s < b[2] for b in base):
             continue
         cost = guess_log10(value)

@@ -88,6 +88,15 @@ def test_cost_alone_decides(text):
     assert [text[s:e] for s, _, e, _ in added] == [text.split()[-1]]
 
 
+@pytest.mark.parametrize("text", ["password is required.", "The token is well-known.", "secret is preparation.", "The password is incorrect!"])
+def test_prose_is_no_secret(text):
+    assert secret_scan.redact_text(text, "[SECRET]") == text
+
+
+def test_trailing_punctuation_stays():
+    assert secret_scan.redact_text("The passcode is Xk29-lemmaQ/77. Next", "[SECRET]") == "The passcode is [SECRET]. Next"
+
+
 # --- 2 ---
 
 

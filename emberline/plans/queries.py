@@ -223,8 +223,8 @@ def apsp(spark, d):
 
 @query
 def harmonic(spark, d):
-    dist = graph.distances(_supplier_graph(spark, d))
-    return graph.harmonic(dist, 100).select("user", _r("harmonic").alias("harmonic"))
+    e = _supplier_graph(spark, d)
+    return graph.harmonic(graph.distances(e), graph.graph_size(e).first()["nodes"]).select("user", _r("harmonic").alias("harmonic"))
 
 
 @query
@@ -237,7 +237,7 @@ def graph_stats(spark, d):
     e = _supplier_graph(spark, d)
     dist = graph.distances(e)
     size, rad = graph.graph_size(e), graph.radius_diameter(dist)
-    eff = graph.harmonic(dist, 100).agg(_r(F.avg("harmonic"), 5).alias("efficiency"))
+    eff = graph.harmonic(dist, size.first()["nodes"]).agg(_r(F.avg("harmonic"), 5).alias("efficiency"))
     return size.crossJoin(rad).crossJoin(eff).crossJoin(graph.degrees(e).agg(F.max("degree").alias("max_degree")))
 
 

@@ -40,3 +40,23 @@ def test_runs(spark, small_dir, name):
 
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_harmonic_divides_by_the_graph_s_own_size(spark, small_dir):
+    near = {}
+    for (k,) in spark.read.parquet(f"{small_dir}/supplier.parquet").select("s_suppkey").collect():
+        for other in ((k * 7 + 3) % 100, k // 2):
+            if other != k:
+                near.setdefault(k, set()).add(other)
+                near.setdefault(other, set()).add(k)
+    want = {}
+    for source in near:
+        dist, level = {source: 0}, [source]
+        while level:
+            level = sorted({b for a in level for b in near[a]} - set(dist))
+            dist |= dict.fromkeys(level, max(dist.values()) + 1)
+        want[source] = sum(1 / x for x in dist.values() if x) / (len(near) - 1)
+    got = {r["user"]: r["harmonic"] for r in QUERIES["harmonic"](spark, small_dir).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    stats = QUERIES["graph_stats"](spark, small_dir).first()
+    assert stats["nodes"] == len(near) and stats["efficiency"] == pytest.approx(sum(want.values()) / len(want), abs=1e-5)

@@ -5,7 +5,7 @@ Pieces, without their ids, are written to the shared folder and dealt by hash in
 bounded number of rows, so that no task grows with the input. In a block, best fit on falling
 lengths gives the start; then the emptiest bin gives its pieces to other underfull bins by moves
 and by exchanges one for one and two for one, each of which increases the sum of squared fills,
-until the bin is empty. The search ends at the lower bound or when the emptiest bins are stuck.
+until the bin is empty. The search ends at the lower bound or when every underfull bin is stuck.
 
 Null and empty texts are one end id. Repeated rows are packed as often as they occur.
 """
@@ -26,7 +26,6 @@ from emberline.llm.tokens import BytePairIds, columns, held
 
 CAPACITY, END_ID = 1024, 2
 BLOCK_ROWS = 20_000
-TRIES, STEPS = 24, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -79,25 +78,24 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = TRIES, steps: int = STEPS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty bins by moves and exchanges that increase the sum of squared fills."""
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     open_bins = [b for b in bins if sum(lengths[i] for i in b) < capacity]
     bound = -(-sum(lengths[i] for b in open_bins for i in b) // capacity)
     stuck: list[list[int]] = []
-    while tries and len(open_bins) + len(stuck) > bound and len(open_bins) > 1:
+    while open_bins and len(open_bins) + len(stuck) > max(bound, 1):
         open_bins.sort(key=lambda b: sum(lengths[i] for i in b))
         low, others = open_bins[0], open_bins[1:] + stuck
-        if _emptied(low, others, lengths, capacity, steps):
+        if _emptied(low, others, lengths, capacity):
             open_bins, stuck = others, []
         else:
-            tries -= 1
             stuck.append(low)
             open_bins = open_bins[1:]
     return full + open_bins + stuck
 
 
-def _emptied(low: list[int], others: list[list[int]], lengths: list[int], capacity: int, steps: int) -> bool:
+def _emptied(low: list[int], others: list[list[int]], lengths: list[int], capacity: int) -> bool:
     gap = np.array([capacity - sum(lengths[i] for i in b) for b in others])
     item = np.array([i for b in others for i in b])
     size = np.array([lengths[i] for i in item])
@@ -139,9 +137,7 @@ def _emptied(low: list[int], others: list[list[int]], lengths: list[int], capaci
                 return fresh(np.full(len(item), True), [i], b)
         return False
 
-    for _ in range(steps):
-        if not low:
-            return True
+    while low:  # each round takes from what low holds
         if moved():
             continue
         order = sorted(low, key=lambda i: -lengths[i])
@@ -149,7 +145,7 @@ def _emptied(low: list[int], others: list[list[int]], lengths: list[int], capaci
             continue
         if not any(better([i, j]) for k, i in enumerate(order) for j in order[k + 1 :]):
             return False
-    return not low
+    return True
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:

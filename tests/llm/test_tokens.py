@@ -149,3 +149,10 @@ def test_orc(spark, nasty, empty, word_bpe, word_library):
     path = scratch(spark, "orc_empty")
     orc_tokens.write_ids(empty, word_bpe, path, parts=2)
     assert orc_tokens.read_digests(spark, path).count() == 0
+
+
+def test_local_search_goes_past_many_stuck_bins():
+    lengths = [60] * 30 + [30] * 3
+    bins = [[i] for i in range(30)] + [[30, 31, 32]]
+    done = packing.local_search(bins, lengths, 100)
+    assert len(done) == 30 and sorted(i for b in done for i in b) == list(range(33))

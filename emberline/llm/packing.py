@@ -7,7 +7,8 @@ lengths gives the start; then the emptiest bin gives its pieces to other underfu
 and by exchanges one for one and two for one, each of which increases the sum of squared fills,
 until the bin is empty. The search ends at the lower bound or when every underfull bin is stuck.
 
-Null and empty texts are one end id. Repeated rows are packed as often as they occur.
+Null and empty texts are one end id. Repeated rows are packed as often as they occur,
+and are spread over the blocks.
 """
 
 from __future__ import annotations
@@ -168,7 +169,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_RO
         return block[[*names, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)))
+    # the place of a row spreads equal rows, which any columns would put into one block
+    salt = [F.col(f"`{c}`") for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in names] + [F.monotonically_increasing_id()]
+    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(*salt), F.lit(blocks)))
     return dealt.groupBy("_block").applyInPandas(run, schema)
 
 

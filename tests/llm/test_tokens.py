@@ -156,3 +156,12 @@ def test_local_search_goes_past_many_stuck_bins():
     bins = [[i] for i in range(30)] + [[30, 31, 32]]
     done = packing.local_search(bins, lengths, 100)
     assert len(done) == 30 and sorted(i for b in done for i in b) == list(range(33))
+
+
+def test_rows_without_ids_are_spread_over_blocks(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 500, k % 2) for k in range(2000)], packing.PIECES)
+    rows = packing.pack(pieces, 1024, 100).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["sequence_id"] >> 32] = sizes.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 2000 and max(sizes.values()) < 200

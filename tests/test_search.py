@@ -124,3 +124,12 @@ def test_epoch_is_free_of_the_session_zone(spark):
         assert df.select(expr.epoch_seconds("ts").alias("t")).first()["t"] == 1711848605
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_candidate_pairs_across_the_antimeridian_and_at_the_poles(spark):
+    from emberline.operators import search
+
+    places = [(10.0, 179.99995), (10.0, -179.99995), (89.9999, 0.0), (89.9999, 180.0), (-89.99995, 10.0), (-89.99995, -120.0), (89.0, 20.0), (89.0001, 20.0), (10.0, 0.0)]
+    docs = spark.createDataFrame([(k, 0, lat, lon) for k, (lat, lon) in enumerate(places)], "user long, time long, lat double, lon double")
+    assert sorted(map(tuple, search.candidate_pairs(docs, 30.0).collect())) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert [tuple(r) for r in search.candidate_pairs(docs.where("user < 2"), 30.0).collect()] == [(0, 1)]

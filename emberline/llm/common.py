@@ -6,6 +6,7 @@ None of them imports the rest of the library.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -62,7 +63,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _where[id(out)] = out, path
+    return out
+
+
+_where: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Give disk back within a query: delete staged tables that nothing reads any more, and have the driver
+    collect its garbage, as Spark removes the files of an exchange when no plan refers to it."""
+    for df in staged:
+        drop_path(spark, _where.pop(id(df))[1])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -11,11 +11,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from emberline.llm import ngram_join, packing, secret_scan, substring_dedup, warc
+from emberline.llm import ngram_join, packing, secret_scan, warc
 from emberline.llm.common import scratch
 from emberline.llm.components import components
 
-from .test_texts import brute_quality, brute_repeats, by_id
+from .test_texts import brute_quality, brute_repeats, brute_without, by_id
 
 
 def shingles(text: str, n: int = 5) -> set:
@@ -167,7 +167,7 @@ def test_pipeline(spark, nasty, labels, byte_bpe, tmp_path):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in once.collect()) == sorted(first.values())
     cut = stages[2](spark, once, str(tmp_path)).cache()
     spans = brute_repeats(once.collect())
-    assert texts(cut) == by_id([(r["doc_id"], substring_dedup.without(r["text"], spans[r["doc_id"] is None, r["doc_id"] or 0, r["text"]])) for r in once.collect()])
+    assert texts(cut) == by_id([(r["doc_id"], brute_without(r["text"], spans[r["doc_id"] is None, r["doc_id"] or 0, r["text"]])) for r in once.collect()])
     safe = stages[3](spark, cut, str(tmp_path)).cache()
     assert texts(safe) == by_id([(r["doc_id"], secret_scan.redact_text(r["text"], "[SECRET]")) for r in cut.collect()])
     assert all(df.columns == docs.columns for df in (kept, once, cut, safe))

@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from emberline.llm import fingerprints, quality, secret_scan, substring_dedup, toxicity
 
@@ -147,17 +149,88 @@ def test_likeness_follows_jaccard():
 # --- 9 ---
 
 
+def brute_units(text: str):
+    """(start, end, words) of paragraphs, lines, sentences of six words and joined shorter ones, word by word."""
+    blocks, block = [], []
+    at = 0
+    for line in text.split("\n"):
+        words = [(at + m.start(), at + m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        at += len(line) + 1
+        if words:
+            block.append(words)
+        elif block:
+            blocks.append(block)
+            block = []
+    blocks += [block] if block else []
+    out = set()
+
+    def add(words):
+        out.add((words[0][0], words[-1][1], tuple(w for _, _, w in words)))
+
+    told = lambda words: any(re.search(r"[A-Za-z0-9]|[^\x00-\x7f]", text[s:e]) for s, e, _ in words)
+    for block in blocks:
+        for words in [*block, [w for line in block for w in line]]:
+            if told(words):
+                add(words)
+        for line in block:
+            sentences = [[]]
+            for w in line:
+                sentences[-1].append(w)
+                if text[w[1] - 1] in ".!?":
+                    sentences.append([])
+            sentences = [x for x in sentences if x]
+            for k, x in enumerate(sentences):
+                ahead, back = list(x), list(x)
+                for y in sentences[k + 1 :]:
+                    if len(ahead) < 6:
+                        ahead += y
+                for y in reversed(sentences[:k]):
+                    if len(back) < 6:
+                        back = y + back
+                for words in (ahead, back):
+                    if len(words) >= 6:
+                        add(words)
+    return sorted(out)
+
+
 def brute_repeats(rows):
-    seen, spans = {}, defaultdict(list)
-    order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r["text"] or "").encode(), 42))), r["text"] or "") for r in rows})
-    for null, doc, h, text in order:
-        for s, e, unit in substring_dedup.units_of(text):
-            if unit in seen:
-                spans[null, doc, text].append((s, e))
-            seen[unit] = True
+    """The merged spans to remove of each (null id, id, text), by looking at each unit and each run of sixteen words."""
+    order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, int(np.int64(np.uint64(xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)))), r["text"] or "") for r in rows})
+    first, found = {}, defaultdict(list)
+    for doc in order:
+        text = doc[3]
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        runs = [(words[k][0], words[k + 15][1], tuple(w for _, _, w in words[k : k + 16])) for k in range(len(words) - 15)]
+        for kind, units in (("unit", brute_units(text)), ("run", runs)):
+            for s, e, same in units:
+                where, end = first.setdefault((kind, same), ((doc, s), e))
+                if where != (doc, s):
+                    s = max(s, end) if where[0] == doc else s
+                    if s < e:
+                        found[doc[0], doc[1], text].append((s, e))
+    spans = defaultdict(list)
+    for key, each in found.items():
+        for s, e in sorted(each):
+            if spans[key] and s <= spans[key][-1][1]:
+                spans[key][-1] = spans[key][-1][0], max(e, spans[key][-1][1])
+            else:
+                spans[key].append((s, e))
     return spans
 
 
+def brute_without(text: str, spans) -> str:
+    """Blanks after a span go with it, and the line's end if nothing else is on the line."""
+    gone = set()
+    for s, e in spans:
+        gone.update(range(s, e))
+        while e < len(text) and text[e] in " \t":
+            gone.add(e)
+            e += 1
+        if (s == 0 or text[s - 1] == "\n") and text[e : e + 1] == "\n":
+            gone.add(e)
+    return "".join(c for k, c in enumerate(text) if k not in gone)
+
+
 def test_substring_dedup(nasty, empty):
     spans = brute_repeats(nasty.collect())
     want = [(r["doc_id"], len(r["text"] or ""), ",".join(f"{s}:{e}" for s, e in spans[r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""])) for r in nasty.collect()]
@@ -166,7 +239,7 @@ def test_substring_dedup(nasty, empty):
     clean = substring_dedup.dedup(nasty)
     assert clean.columns == nasty.columns and clean.dtypes == nasty.dtypes
     rows = clean.collect()
-    texts = [(r["doc_id"], None if r["text"] is None else substring_dedup.without(r["text"], spans[r["doc_id"] is None, r["doc_id"] or 0, r["text"]])) for r in nasty.collect()]
+    texts = [(r["doc_id"], None if r["text"] is None else brute_without(r["text"], spans[r["doc_id"] is None, r["doc_id"] or 0, r["text"]])) for r in nasty.collect()]
     assert by_id([(r["doc_id"], r["text"]) for r in rows]) == by_id(texts)
     assert all(r["_row"] == "r" and r["_text"] == 1 for r in rows)
     assert substring_dedup.removed(empty).count() == 0 and substring_dedup.dedup(empty).count() == 0
@@ -194,6 +267,23 @@ def test_repeated_lines_and_paragraphs_go_whole(spark):
     assert all(x not in clean[1] for x in lines) and clean[0] == rows[0][1]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab.!?\n \té", max_size=60), min_size=1, max_size=4))
+def test_units_and_word_places(texts):
+    words = substring_dedup.Words([t.encode() for t in texts])
+    i, j = words.units(6)
+    got = sorted((int(words.doc[a]), int(words.start[a]), int(words.end[b - 1])) for a, b in zip(i, j, strict=True))
+    assert got == sorted((k, s, e) for k, t in enumerate(texts) for s, e, _ in brute_units(t))
+
+
+def test_query_returns_offsets_and_text(spark, tmp_path):
+    line = "one line that two texts have word for word"
+    spark.createDataFrame([(4, f"{line}\nand more", 1), (2, line, 1), (None, line, 1), (9, None, 1)], "doc_id long, text string, removed int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id([tuple(r) for r in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()])
+    n = len(line)
+    assert got == by_id([(2, "", line), (4, f"0:{n}", "and more"), (9, "", None), (None, f"0:{n}", "")])
+
+
 def test_passages_in_foreign_lines_go_whole(spark):
     rng = np.random.default_rng(9)
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))

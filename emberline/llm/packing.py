@@ -3,12 +3,15 @@
 Texts become token ids and an end id; only a longer document is cut, with the short piece first.
 Pieces, without their ids, are written to the shared folder and dealt by hash into blocks of a
 bounded number of rows, so that no task grows with the input. In a block, best fit on falling
-lengths gives the start; then the emptiest bin gives its pieces to other underfull bins by moves
-and by exchanges one for one and two for one, each of which increases the sum of squared fills,
-until the bin is empty. The search ends at the lower bound or when every underfull bin is stuck.
-
-Null and empty texts are one end id. Repeated rows are packed as often as they occur,
-and are spread over the blocks.
+lengths gives the start; then all underfull bins move pieces and exchange one for one and two for one
+with each other as long as the sum of squared fills grows, which fills the fuller bins and empties
+others; and a bin is emptied by a chain of steps. The search ends when neither is left to do, or at Martello
+and Toth's lower bound; nothing else ends it.
+
+Null and empty texts are one end id. Repeated rows are packed as often as they occur, and are spread
+over the blocks. Ties in length are taken in order of doc_id and piece, null last. A very long text is
+cut into as many pieces as it takes; its ids are held by one task alone and only while it is cut. Columns
+other than doc_id and text aren't read; pack() keeps those of its input. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -79,74 +82,121 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Martello and Toth's bound: for each threshold, pieces that leave less than it share a bin with none of the others."""
+    x = np.sort(np.asarray(lengths, "i8"))[::-1]
+    total = np.concatenate(([0], np.cumsum(x)))
+    half = int((x > capacity // 2).sum())
+    least = -(-int(total[-1]) // capacity)
+    for k in np.unique(x[x <= capacity // 2]):
+        alone, small = int((x > capacity - k).sum()), int((x >= k).sum())
+        over = total[small] - total[half] - ((half - alone) * capacity - (total[half] - total[alone]))
+        least = max(least, half + max(0, -(-int(over) // capacity)))
+    return least
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins by moves and exchanges that increase the sum of squared fills."""
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    open_bins = [b for b in bins if sum(lengths[i] for i in b) < capacity]
-    bound = -(-sum(lengths[i] for b in open_bins for i in b) // capacity)
-    stuck: list[list[int]] = []
-    while open_bins and len(open_bins) + len(stuck) > max(bound, 1):
-        open_bins.sort(key=lambda b: sum(lengths[i] for i in b))
-        low, others = open_bins[0], open_bins[1:] + stuck
-        if _emptied(low, others, lengths, capacity):
-            open_bins, stuck = others, []
-        else:
-            stuck.append(low)
-            open_bins = open_bins[1:]
-    return full + open_bins + stuck
-
-
-def _emptied(low: list[int], others: list[list[int]], lengths: list[int], capacity: int) -> bool:
-    gap = np.array([capacity - sum(lengths[i] for i in b) for b in others])
-    item = np.array([i for b in others for i in b])
-    size = np.array([lengths[i] for i in item])
-    where = np.repeat(np.arange(len(others)), [len(b) for b in others])
-
-    def better(give: list[int]) -> bool:
-        """Exchange give for one smaller piece, where the other bin fills most."""
-        total = sum(lengths[i] for i in give)
-        gain = total - size
-        ok = (gain > 0) & (gain <= gap[where])
-        if not ok.any():
-            return False
-        at = int(np.argmax(np.where(ok, gain, -1)))
-        b, back = int(where[at]), int(item[at])
+    """Move a piece, or exchange one for one, two for one or one for two, among all underfull bins while the sum of squared
+    fills grows; then empty a bin by a chain of such steps, which may each shrink the sum; until neither is
+    left to do or there are as few bins as the lower bound says.
+
+    A step takes d tokens more into a bin of fill f than it gives back to one of fill g; the sum of squares grows by
+    2d(f - g + d). For each bin, fullest first, the step of most growth is taken."""
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    full = [b for b, f in zip(bins, fills, strict=True) if f == capacity]
+    held = [list(b) for b, f in zip(bins, fills, strict=True) if f < capacity]
+    fill = np.array([f for f in fills if f < capacity], "i8")
+    bound, live = lower_bound([lengths[i] for b in held for i in b], capacity), len(held)
+
+    def parcels(k: int) -> list[tuple[int, int, int, int]]:
+        """(size, bin, piece, second piece or -1) of what bin k can give."""
+        b = held[k] if fill[k] < capacity else []
+        return [(lengths[i], k, i, -1) for i in b] + [(lengths[i] + lengths[j], k, i, j) for n, i in enumerate(b) for j in b[n + 1 :]]
+
+    offers = np.array([p for k in range(live) for p in parcels(k)], "i8").reshape(-1, 4)
+
+    def best_step(k: int) -> tuple[int, tuple, np.ndarray] | None:
+        size, where, single = offers[:, 0], offers[:, 1], offers[:, 3] < 0
+        ahead, other, best = fill[k] - fill[where], where != k, (0, None, None)
+        for give in [(0, k, -1, -1), *parcels(k)]:
+            d = size - give[0]
+            gain = np.where(other & (d > 0) & (d <= capacity - fill[k]) & (single if give[3] >= 0 else True), d * (ahead + d), 0)
+            at = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[at] > best[0]:
+                best = int(gain[at]), give, offers[at]
+        return best if best[1] else None
+
+    def exchange(k: int, other: int, give: list[int], take: list[int]) -> None:
+        nonlocal offers, live
         for i in give:
-            low.remove(i)
-            others[b].append(i)
-        others[b].remove(back)
-        low.append(back)
-        gap[b] -= gain[at]
-        keep = np.arange(len(item)) != at
-        return fresh(keep, give, b)
-
-    def fresh(keep, give: list[int], b: int) -> bool:
-        nonlocal item, size, where
-        item = np.append(item[keep], give)
-        size = np.append(size[keep], [lengths[i] for i in give])
-        where = np.append(where[keep], [b] * len(give))
+            held[k].remove(i)
+            held[other].append(i)
+        for i in take:
+            held[other].remove(i)
+            held[k].append(i)
+        d = sum(lengths[i] for i in take) - sum(lengths[i] for i in give)
+        fill[k] += d
+        fill[other] -= d
+        live -= (not held[other]) + (not held[k])
+        rest = offers[(offers[:, 1] != k) & (offers[:, 1] != other)]
+        offers = np.concatenate((rest, np.array(parcels(k) + parcels(other), "i8").reshape(-1, 4)))
+
+    def climbed() -> bool:
+        """Take steps until a pass over the bins finds none."""
+        any_step, stuck = False, set()
+        for k in np.argsort(-fill, kind="stable").tolist():
+            kind = tuple(sorted(lengths[i] for i in held[k]))  # bins of equal pieces have equal steps
+            if not held[k] or fill[k] == capacity or kind in stuck or live <= bound:
+                continue
+            step = best_step(k)
+            if step is None:
+                stuck.add(kind)
+                continue
+            _, give, take = step
+            exchange(k, int(take[1]), [i for i in give[2:] if i >= 0], [i for i in take[2:].tolist() if i >= 0])
+            any_step, stuck = True, set()
+        return any_step
+
+    def emptied(k: int) -> bool:
+        """Give away all of bin k, piece by piece: a move where it fits best, or an exchange for the smallest piece or
+        pair that makes room. The sum of squares has grown when the bin is empty; if it can't be, nothing is done."""
+        nonlocal held, fill, offers, live
+        before = [list(b) for b in held], fill.copy(), offers, live
+        while held[k]:
+            size, where = offers[:, 0], offers[:, 1]
+            room = capacity - fill
+            open_room = np.where((room > 0) & (fill > 0) & (np.arange(len(fill)) != k), room, 0)
+            best: tuple[int, int, list[int], list[int]] | None = None
+            for _, _, i, j in sorted(parcels(k), reverse=True):
+                if j < 0 and (fits := open_room >= lengths[i]).any():
+                    best = 0, int(np.argmin(np.where(fits, open_room, capacity + 1))), [i], []
+                    break
+                give = [i, j] if j >= 0 else [i]
+                total = sum(lengths[x] for x in give)
+                ok = (where != k) & (size < total) & (total - size <= open_room[where]) & ((offers[:, 3] < 0) | (j < 0))
+                if ok.any():
+                    at = int(np.argmin(np.where(ok, size, capacity + 1)))
+                    if best is None or total - size[at] > best[0]:
+                        best = int(total - size[at]), int(where[at]), give, [x for x in offers[at, 2:].tolist() if x >= 0]
+            if best is None:
+                held, fill, offers, live = before
+                return False
+            exchange(k, *best[1:])
         return True
 
-    def moved() -> bool:
-        for i in sorted(low, key=lambda i: -lengths[i]):
-            ok = gap >= lengths[i]
-            if ok.any():
-                b = int(np.argmin(np.where(ok, gap, capacity + 1)))
-                low.remove(i)
-                others[b].append(i)
-                gap[b] -= lengths[i]
-                return fresh(np.full(len(item), True), [i], b)
-        return False
-
-    while low:  # each round takes from what low holds
-        if moved():
-            continue
-        order = sorted(low, key=lambda i: -lengths[i])
-        if any(better([i]) for i in order):
+    while live > bound:
+        if climbed():
             continue
-        if not any(better([i, j]) for k, i in enumerate(order) for j in order[k + 1 :]):
-            return False
-    return True
+        tried: set[tuple[int, ...]] = set()
+        for k in np.argsort(fill, kind="stable").tolist():
+            kind = tuple(sorted(lengths[i] for i in held[k]))
+            if held[k] and fill[k] < capacity and kind not in tried:
+                tried.add(kind)
+                if emptied(k):
+                    break
+        else:
+            break
+    return full + [b for b in held if b]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:

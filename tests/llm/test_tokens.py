@@ -118,17 +118,61 @@ def test_local_search_keeps_pieces_and_never_adds_bins(lengths):
     assert all(0 < sum(lengths[i] for i in b) <= 100 for b in done) and -(-sum(lengths) // 100) <= len(done) <= n
 
 
+def least_bins(lengths, capacity) -> int:
+    """By trying every bin for each length."""
+    best = len(lengths)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(lengths):
+            best = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + lengths[k] <= capacity and fills[b] not in fills[:b]:
+                place(k + 1, [*fills[:b], fills[b] + lengths[k], *fills[b + 1 :]])
+        place(k + 1, [*fills, lengths[k]])
+
+    place(0, [])
+    return best
+
+
 def test_local_search_empties_a_bin():
-    lengths = [55, 51, 48, 46, 44, 43, 7, 6]  # 300 in all
-    bins = [[0, 5], [1, 4], [2, 3], [6, 7]]
-    assert len(packing.local_search(bins, lengths, 100)) == 3
+    # 50 + 30 + 20, 50 + 30 + 20 and 30 + 30 + 20 + 20 fill three bins; best fit takes four
+    lengths = [50, 50, 30, 30, 30, 30, 20, 20, 20, 20]
+    start = [[0, 1], [2, 3, 4], [5, 6, 7, 8], [9]]
+    assert least_bins(lengths, 100) == 3 and [sum(lengths[i] for i in b) for b in start] == [100, 90, 90, 20]
+    done = packing.local_search(start, lengths, 100)
+    assert len(done) == 3 and all(sum(lengths[i] for i in b) == 100 for b in done)
+
+
+def test_local_search_beats_best_fit():
+    """6 x (51, 26, 23) and 3 x (27, 27, 23, 23) fill nine bins; best fit pairs 51 with 27 and takes eleven."""
+    lengths = [51] * 6 + [27] * 6 + [26] * 6 + [23] * 12
+    start = packing.best_fit(lengths, 100)
+    done = packing.local_search(start, lengths, 100)
+    assert len(start) == 11 and packing.lower_bound(lengths, 100) == 9 and len(done) <= 10
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
+def test_lower_bound_and_squares(lengths):
+    lengths = sorted(lengths, reverse=True)
+    least = least_bins(lengths, 30)
+    start = packing.best_fit(lengths, 30)
+    done = packing.local_search(start, lengths, 30)
+    squares = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+    assert packing.lower_bound(lengths, 30) <= least <= len(done) <= len(start) and squares(done) >= squares(start)
+    assert -(-sum(lengths) // 30) <= packing.lower_bound(lengths, 30)
 
 
 def test_packing_is_close_to_the_bound():
     rng = random.Random(1)
     lengths = sorted((rng.randint(1, 1024) for _ in range(5000)), reverse=True)
     done = packing.local_search(packing.best_fit(lengths, 1024), lengths, 1024)
-    assert len(done) <= 1.01 * -(-sum(lengths) // 1024)
+    bound = packing.lower_bound(lengths, 1024)
+    assert bound == 2543 and len(done) <= 1.0012 * bound
 
 
 def test_orc(spark, nasty, empty, word_bpe, word_library):

@@ -273,10 +273,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     anchors = marks.where(f"kind = {ANCHOR}").select("_doc", "_key", F.col("d1").alias("anchor"))
     shared = stage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "shared")
     release(spark)
-    by_doc = anchors.join(shared, "anchor").groupBy("_doc", "_key").agg(F.collect_set("anchor").alias("_anchors"))
+    by_doc = stage(anchors.join(shared, "anchor").groupBy("_doc", "_key").agg(F.collect_set("anchor").alias("_anchors")), "anchors")
+    release(spark, marks, shared)
     near = keyed.select("_doc", "_key", "_text").join(by_doc, ["_doc", "_key"]).join(gather(of_units), ["_doc", "_key"], "left")
     windows = stage(_windows(near), "windows")
-    release(spark, marks)
+    release(spark, by_doc)
     of_windows = stage(_later(windows), "spans")
     release(spark, windows)
     return keyed, gather(of_units.unionByName(of_windows))
@@ -320,13 +321,14 @@ def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = columns(batch, "_text", "_spans")
+            texts = batch.column(batch.schema.get_field_index("_row")).field("text").to_pylist()
+            (found,) = columns(batch, "_spans")
             gone = [merged([(s["start"], s["end"]) for s in x]) if x else [] for x in found]
             clean = [without(t, x) if x else None for t, x in zip(texts, gone, strict=True)]
             yield batch.select(["_row"]).append_column("_gone", pa.array([[{"start": s, "end": e} for s, e in x] for x in gone], kind)).append_column("_clean", pa.array(clean, pa.string()))
 
     row = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema) + ">"
-    return keyed.join(spans, ["_doc", "_key"], "left").select("_row", "_text", "_spans").mapInArrow(run, f"_row {row}, _gone array<struct<start:int,end:int>>, _clean string")
+    return keyed.drop("_text").join(spans, ["_doc", "_key"], "left").select("_row", "_spans").mapInArrow(run, f"_row {row}, _gone array<struct<start:int,end:int>>, _clean string")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

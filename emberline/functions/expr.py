@@ -54,9 +54,11 @@ def whole(x: Column | str) -> Column:
 
 
 def expected_reach(init: Column | str, first: Column | str, tol: Column | str, transmission: Column | str, eps: float = 1e-7) -> Column:
-    """Hops that a message of value first can go until it falls below tol * transmission of the value init there."""
-    top = F.greatest(F.lit(eps), col(tol) * col(transmission) * col(first))
-    return F.greatest(F.lit(1.0), 1 + F.log(top / F.greatest(F.lit(eps), col(init))) / F.log(col(transmission)))
+    """Hops that a message of value init can go until it falls below tol * transmission of the value first; without decay
+    it never does, so it goes on without end or not at all."""
+    top, value = F.greatest(F.lit(eps), col(tol) * col(transmission) * col(first)), F.greatest(F.lit(eps), col(init))
+    endless = F.when(value >= top, F.lit(float("inf"))).otherwise(F.lit(1.0))
+    return F.when(col(transmission) >= 1, endless).otherwise(F.greatest(F.lit(1.0), 1 + F.try_divide(F.log(top / value), F.log(col(transmission)))))
 
 
 def geometric_radius(n: Column | str) -> Column:

@@ -98,8 +98,23 @@ def undominated(messages: DataFrame) -> DataFrame:
 
 @dataclass
 class Propagated:
+    """exposures (user, init_val, exposure), a log of one row, and updates (user, updates): in how many supersteps the
+    user's exposure rose, of users with a score."""
+
     exposures: DataFrame
     log: DataFrame
+    updates: DataFrame
+
+
+def update_counts(scores: DataFrame, arrivals: list[DataFrame]) -> DataFrame:
+    """(user, updates) from the largest value (dest, round, val) that came to each user in each superstep."""
+    first = initial_scores(scores).select("user", F.lit(0).alias("round"), F.col("init_val").alias("val"))
+    came = first
+    for a in arrivals:
+        came = came.unionByName(a.select(F.col("dest").alias("user"), "round", "val"))
+    before = Window.partitionBy("user").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    rose = came.withColumn("rose", (F.col("val") > F.max("val").over(before)).cast("long"))
+    return rose.groupBy("user").agg(F.coalesce(F.sum("rose"), F.lit(0)).alias("updates"), F.min("round").alias("least")).where("least = 0").drop("least")
 
 
 def propagate(scores: DataFrame, contacts: DataFrame, p: PropagationParams | None = None, validate: bool = True) -> Propagated:
@@ -112,16 +127,17 @@ def propagate(scores: DataFrame, contacts: DataFrame, p: PropagationParams | Non
     scores = scores.select("user", "val", "time")
     edges = cut(spread(directed(contacts), "src"))
     if scores.isEmpty() or contacts.isEmpty():
-        empty = spark.createDataFrame([], "user long, init_val double, exposure double")
-        return Propagated(empty, _log(spark, empty, p, began, 0, 0, "EMPTY"))
+        empty, none = spark.createDataFrame([], "user long, init_val double, exposure double"), spark.createDataFrame([], "user long, updates long")
+        return Propagated(empty, _log(spark, empty, none, p, began, 0, 0, "EMPTY"), none)
     if validate:
         check_users(scores, edges)
     limited = cut(spread(limits(scores, edges, p), "src"))
     state = cut(undominated(first_hop(scores, edges, p).withColumn("round", F.lit(1))))
     messages, rounds, stale, stop = state.count(), 1, 0, "CONVERGED"
-    best = None
+    best, arrivals = None, []
     while True:
         frontier = state.where(F.col("round") == rounds)
+        arrivals.append(frontier.groupBy("dest", "round").agg(F.max("val").alias("val")))
         if p.max_rounds is not None and rounds >= p.max_rounds:
             stop = "MAX_ROUNDS"
             break
@@ -144,8 +160,8 @@ def propagate(scores: DataFrame, contacts: DataFrame, p: PropagationParams | Non
         messages += arrived
     received = state.groupBy(F.col("dest").alias("user")).agg(F.max("val").alias("received"), F.count(F.lit(1)).alias("kept"))
     exposures = initial_scores(scores).join(received, "user", "left").select("user", "init_val", F.greatest("init_val", F.coalesce("received", F.lit(0.0))).alias("exposure"))
-    exposures = cut(exposures)
-    return Propagated(exposures, _log(spark, exposures, p, began, rounds, messages, stop, edges))
+    exposures, updates = cut(exposures), cut(update_counts(scores, arrivals))
+    return Propagated(exposures, _log(spark, exposures, updates, p, began, rounds, messages, stop, edges), updates)
 
 
 def exposures(scores: DataFrame, contacts: DataFrame, p: PropagationParams | None = None, validate: bool = True) -> DataFrame:
@@ -172,14 +188,17 @@ def weighted_summary(workers: DataFrame) -> DataFrame:
     )
 
 
-def _log(spark, exposed: DataFrame, p: PropagationParams, began: float, rounds: int, messages: int, stop: str, edges: DataFrame | None = None) -> DataFrame:
+def _log(spark, exposed: DataFrame, counts: DataFrame, p: PropagationParams, began: float, rounds: int, messages: int, stop: str, edges: DataFrame | None = None) -> DataFrame:
     """One row of Statistics and Parameters structs."""
     edge_count = edges.count() // 2 if edges is not None else 0
-    stats = update_stats(exposed).select(
+    some = F.when(F.col("updates") > 0, F.col("updates"))
+    often = counts.agg(*[F.coalesce(f(some).cast("double"), F.lit(0.0)).alias(n) for f, n in ((F.min, "min_updates"), (F.max, "max_updates"), (F.avg, "avg_updates"), (F.stddev_pop, "std_updates"))])
+    stats = update_stats(exposed).crossJoin(F.broadcast(often)).select(  # one row each
         F.struct(
             F.lit(round(time.time() - began, 4)).alias("RuntimeInSeconds"), F.lit(messages).cast("long").alias("Messages"), F.col("nodes").alias("Nodes"), F.lit(edge_count).cast("long").alias("Edges"),
             F.lit(rounds).alias("Rounds"), F.col("updates").alias("Updates"), F.bround("min_update", 4).alias("MinUpdate"), F.bround("max_update", 4).alias("MaxUpdate"),
-            F.bround("avg_update", 4).alias("AvgUpdate"), F.bround("std_update", 4).alias("StdUpdate"), F.lit(stop).alias("StopCondition"),
+            F.bround("avg_update", 4).alias("AvgUpdate"), F.bround("std_update", 4).alias("StdUpdate"),
+            F.col("min_updates").alias("MinUpdates"), F.col("max_updates").alias("MaxUpdates"), F.bround("avg_updates", 4).alias("AvgUpdates"), F.bround("std_updates", 4).alias("StdUpdates"), F.lit(stop).alias("StopCondition"),
             (F.lit(messages) + F.col("nodes")).alias("MessagesCompat"),
         ).alias("Statistics"),
         F.struct(

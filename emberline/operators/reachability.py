@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.expr import expected_reach
 from emberline.lineage import cut, spread
+from emberline.operators.analysis import sem
 from emberline.operators.propagation import initial_scores, limits
 from emberline.params import PropagationParams
 
@@ -33,6 +35,17 @@ def reach(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: Da
     return seen.where("dist > 0")
 
 
+def comparison(scores: DataFrame, reached: DataFrame, p: PropagationParams) -> DataFrame:
+    """One row: mean and standard error of the expected reach of all first messages, beside a sender of mean value, and of
+    the farthest hop that messages of each source reached, sources that reached nobody aside."""
+    first = initial_scores(scores)
+    mean = first.agg(F.avg("init_val").alias("mean"))  # one row
+    hops = expected_reach(F.col("init_val") * p.transmission, F.col("mean"), F.lit(p.tol), F.lit(p.transmission), p.eps)
+    expected = first.crossJoin(F.broadcast(mean)).select(hops.alias("hops")).agg(F.avg("hops").alias("expected_mean"), sem("hops").alias("expected_err"))
+    far = reached.groupBy("source").agg(F.max("dist").alias("far"))
+    return expected.crossJoin(far.agg(F.avg("far").alias("actual_mean"), sem("far").alias("actual_err")))
+
+
 def ratio(reached: DataFrame, nodes: DataFrame, dist: DataFrame | None = None) -> DataFrame:
     """actual (unordered pairs reached), ideal (ordered pairs of all nodes), ratio_compat of the two; with distances of
     the graph also ratio_reachable, over the pairs that any path joins."""

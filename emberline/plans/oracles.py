@@ -32,6 +32,11 @@ EXPOSED = (
     BASE + ",\n" + ",\n".join(step(k) for k in range(2, ROUNDS + 1)) + ",\nreceived AS (SELECT dest, max(val) AS v FROM (" + " UNION ALL ".join(f"SELECT dest, val FROM m{k}" for k in range(1, ROUNDS + 1)) + ") GROUP BY dest),\n"
     'exposed AS (SELECT i."user", i.init_val, greatest(i.init_val, coalesce(r.v, 0.0)) AS exposure FROM init i LEFT JOIN received r ON r.dest = i."user")'
 )
+RISEN = (
+    ',\ncame AS (SELECT "user" AS u, 0 AS k, init_val AS v FROM init UNION ALL ' + " UNION ALL ".join(f"SELECT dest, {k}, max(val) FROM m{k} GROUP BY dest" for k in range(1, ROUNDS + 1)) + "),\n"
+    'rises AS (SELECT u, CASE WHEN v > max(v) OVER (PARTITION BY u ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS r FROM came),\n'
+    'risen AS (SELECT u AS "user", CAST(sum(r) AS BIGINT) AS updates FROM rises WHERE u IN (SELECT "user" FROM init) GROUP BY u)'
+)
 REACH = (
     f"WITH {SCORES},\n{EDGES},\n{INITIAL},\nlim AS (SELECT e.src, e.dest, e.ctime, i.init_val * {ALPHA} * {TOL} AS least_val, i.init_time AS latest FROM edges e JOIN init i ON i.\"user\" = e.src),\n"
     'r0 AS (SELECT "user" AS source, "user" AS u, init_val AS val, init_time AS time FROM init),\n'
@@ -61,7 +66,7 @@ isl AS (SELECT u1, u2, min(s) AS s, max(e) AS e FROM numbered GROUP BY u1, u2, k
 #: Distinct places are 55 metres apart in latitude and more than 40 in longitude, so within a metre means at one place.
 PAIRS = """places AS (SELECT DISTINCT "user", round(lat * 10000) AS a, round(lon * 10000) AS b FROM loc),
 pairs AS (SELECT DISTINCT x."user" AS u1, y."user" AS u2 FROM places x JOIN places y ON x.a = y.a AND x.b = y.b AND x."user" < y."user")"""
-SUPPLIERS = """raw AS (SELECT s_suppkey AS u1, (s_suppkey * 7 + 3) % 100 AS u2 FROM supplier UNION ALL SELECT s_suppkey, s_suppkey // 2 FROM supplier),
+SUPPLIERS = """raw AS (SELECT s_suppkey AS u1, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS u2 FROM supplier UNION ALL SELECT s_suppkey, s_suppkey // 2 FROM supplier),
 pr AS (SELECT DISTINCT least(u1, u2) AS u1, greatest(u1, u2) AS u2 FROM raw WHERE u1 <> u2),
 arcs AS (SELECT u1 AS src, u2 AS dest FROM pr UNION ALL SELECT u2, u1 FROM pr),
 d0 AS (SELECT DISTINCT src AS source, src AS u FROM arcs),
@@ -69,6 +74,18 @@ d0 AS (SELECT DISTINCT src AS source, src AS u FROM arcs),
     f"d{k} AS (SELECT DISTINCT d.source, a.dest AS u FROM d{k - 1} d JOIN arcs a ON a.src = d.u WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM d{j} q WHERE q.source = d.source AND q.u = a.dest)" for j in range(k)) + ")"
     for k in range(1, LEVELS + 1)
 ) + ",\ndist AS (" + " UNION ALL ".join(f'SELECT source, u AS "user", {k} AS dist FROM d{k}' for k in range(1, LEVELS + 1)) + ")"
+#: Reach of made-up scores over the suppliers' graph, whose contacts are all at time 0.
+SUPPLIER_REACH = (
+    f"si AS (SELECT src AS u, (src % 10) / 10.0::DOUBLE AS v, src % 3 - 1 AS t FROM (SELECT DISTINCT src FROM arcs)),\n"
+    f"sl AS (SELECT a.src, a.dest, s.v * {ALPHA} * {TOL} AS least_val, s.t AS latest FROM arcs a JOIN si s ON s.u = a.src),\n"
+    "h0 AS (SELECT u AS source, u, v AS val, t AS time FROM si),\n"
+    + ",\n".join(
+        f"h{k} AS (SELECT DISTINCT r.source, l.dest AS u, r.val * {ALPHA} AS val, r.time FROM h{k - 1} r JOIN sl l ON l.src = r.u WHERE r.time <= {BUFFER} AND r.val * {ALPHA} >= l.least_val AND r.time <= l.latest"
+        + "".join(f" AND NOT EXISTS (SELECT 1 FROM h{j} q WHERE q.source = r.source AND q.u = l.dest)" for j in range(k)) + ")"
+        for k in range(1, LEVELS + 1)
+    )
+    + ", reached AS (" + " UNION ALL ".join(f"SELECT source, u FROM h{k}" for k in range(1, LEVELS + 1)) + ")"
+)
 RUNS = "runs AS (SELECT l_returnflag AS \"Graph\", l_discount AS \"SendTolerance\", l_linestatus AS \"Setting\", l_extendedprice AS \"Runtime\", l_quantity AS \"Messages\", l_orderkey AS seq, l_linenumber AS line FROM lineitem)"
 SEM = 'stddev_samp("Messages") / sqrt(count("Messages"))'
 
@@ -125,7 +142,8 @@ ORACLES: dict[str, str] = {
     "propagate_k": BASE + ", " + step(2) + " SELECT src, dest, round(val, 6) AS val, time FROM m2",
     "exposure": EXPOSED + ' SELECT "user", round(init_val, 6) AS init_val, round(exposure, 6) AS exposure FROM exposed',
     "update_stats": EXPOSED + ", up AS (SELECT CASE WHEN exposure > init_val THEN exposure - init_val END AS d FROM exposed) SELECT count(*) AS nodes, count(d) AS updates, round(coalesce(min(d), 0), 5) AS min_update, round(coalesce(max(d), 0), 5) AS max_update, round(coalesce(avg(d), 0), 5) AS avg_update, round(coalesce(stddev_pop(d), 0), 5) AS std_update FROM up",
-    "run_log": EXPOSED + f' SELECT (SELECT count(*) FROM exposed) AS "Nodes", (SELECT count(*) FROM fx_contacts) AS "Edges", (SELECT count(*) FROM exposed WHERE exposure > init_val) AS "Updates", {ALPHA}::DOUBLE AS "Transmission", {TOL}::DOUBLE AS "SendTolerance", {BUFFER}.0::DOUBLE AS "TimeBufferInSeconds"',
+    "update_counts": EXPOSED + RISEN + ' SELECT "user", updates FROM risen',
+    "run_log": EXPOSED + RISEN + f' SELECT (SELECT count(*) FROM exposed) AS "Nodes", (SELECT count(*) FROM fx_contacts) AS "Edges", (SELECT count(*) FROM exposed WHERE exposure > init_val) AS "Updates", (SELECT CAST(coalesce(min(updates), 0) AS DOUBLE) FROM risen WHERE updates > 0) AS "MinUpdates", (SELECT CAST(coalesce(max(updates), 0) AS DOUBLE) FROM risen) AS "MaxUpdates", (SELECT round_even(coalesce(avg(updates), 0), 4) FROM risen WHERE updates > 0) AS "AvgUpdates", (SELECT round_even(coalesce(stddev_pop(updates), 0), 4) FROM risen WHERE updates > 0) AS "StdUpdates", {ALPHA}::DOUBLE AS "Transmission", {TOL}::DOUBLE AS "SendTolerance", {BUFFER}.0::DOUBLE AS "TimeBufferInSeconds"',
     "weighted_summary": "WITH w AS (SELECT event_type, max(value) AS runtime, count(*) AS messages, count(DISTINCT user_id) AS nodes, count(*) FILTER (value > 50) AS updates, min(value) AS min_update, max(value) AS max_update, avg(value) AS avg_update FROM events GROUP BY 1) SELECT max(runtime) AS runtime, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(updates) AS BIGINT) AS updates, min(min_update) AS min_update, max(max_update) AS max_update, round(CASE WHEN sum(updates) = 0 THEN 0 ELSE sum(avg_update * updates) / sum(updates) END, 5) AS avg_update FROM w",
     "isolated_users": f'WITH {SCORES}, {CLOSE} SELECT DISTINCT "user" FROM scores WHERE "user" NOT IN (SELECT u FROM linked)',
     "connected_users": f'WITH {SCORES}, {CLOSE} SELECT DISTINCT "user" FROM scores WHERE "user" IN (SELECT u FROM linked)',
@@ -140,9 +158,13 @@ ORACLES: dict[str, str] = {
     "reach_stats": REACH + ", g AS (SELECT source, count(*) AS c, max(dist) AS far FROM reach GROUP BY source) SELECT min(c) AS min_reached, max(c) AS max_reached, round(avg(c), 5) AS mean_reached, max(far) AS max_dist FROM g",
     "reach_hist": REACH + ", g AS (SELECT source % 2 AS setting, dist, count(*) AS n FROM reach GROUP BY 1, 2) SELECT setting, dist, n, round(n / sum(n) OVER (PARTITION BY setting), 6) AS share FROM g",
     "apsp": f'WITH {SUPPLIERS} SELECT source, "user", dist FROM dist',
-    "harmonic": f'WITH {SUPPLIERS} SELECT source AS "user", round(sum(1.0::DOUBLE / dist) / 99, 6) AS harmonic FROM dist GROUP BY source',
+    "harmonic": f'WITH {SUPPLIERS} SELECT source AS "user", round(sum(1.0::DOUBLE / dist) / ((SELECT count(DISTINCT src) FROM arcs) - 1), 6) AS harmonic FROM dist GROUP BY source',
     "radius_diameter": f"WITH {SUPPLIERS}, f AS (SELECT max(dist) AS far FROM dist GROUP BY source) SELECT min(far) AS radius, max(far) AS diameter FROM f",
-    "graph_stats": f"WITH {SUPPLIERS}, f AS (SELECT max(dist) AS far, sum(1.0::DOUBLE / dist) / 99 AS h FROM dist GROUP BY source) SELECT (SELECT count(DISTINCT src) FROM arcs) AS nodes, (SELECT count(*) FROM pr) AS edges, min(far) AS radius, max(far) AS diameter, round(avg(h), 5) AS efficiency, (SELECT max(c) FROM (SELECT count(*) AS c FROM arcs GROUP BY src)) AS max_degree FROM f",
+    "graph_stats": f"WITH {SUPPLIERS}, f AS (SELECT max(dist) AS far, sum(1.0::DOUBLE / dist) / ((SELECT count(DISTINCT src) FROM arcs) - 1) AS h FROM dist GROUP BY source), g AS (SELECT count(*) AS c FROM arcs GROUP BY src), {SUPPLIER_REACH}, "
+    "q AS (SELECT count(*) AS actual FROM (SELECT DISTINCT least(source, u) AS a, greatest(source, u) AS b FROM reached)), z AS (SELECT count(DISTINCT src) AS n FROM arcs), y AS (SELECT count(*) FILTER (source < \"user\") AS reachable FROM dist) "
+    "SELECT (SELECT n FROM z) AS nodes, (SELECT count(*) FROM pr) AS edges, (SELECT min(far) FROM f) AS radius, (SELECT max(far) FROM f) AS diameter, (SELECT round(avg(h), 5) FROM f) AS efficiency, "
+    "(SELECT min(c) FROM g) AS min_degree, (SELECT max(c) FROM g) AS max_degree, (SELECT round(avg(c), 3) FROM g) AS mean_degree, (SELECT round(stddev_pop(c), 3) FROM g) AS std_degree, "
+    "actual, n * (n - 1) AS ideal, reachable, round(actual / (n * (n - 1)), 6) AS ratio_compat, round(actual / reachable, 6) AS ratio_reachable FROM q, z, y",
     "history": f"WITH {LOCATIONS}, h AS (SELECT \"user\", time, {_geohash('lat', 'lon', 8)} AS g FROM loc) SELECT \"user\", string_agg(g || '@' || time, ',' ORDER BY time, g) AS locs FROM h GROUP BY \"user\"",
     "locf_segments": f'WITH {SEGMENTS} SELECT "user", s AS start, e AS "end", round(lat, 6) AS lat, round(lon, 6) AS lon FROM seg',
     "candidate_pairs": f"WITH {LOCATIONS}, {PAIRS} SELECT u1, u2 FROM pairs",
@@ -162,13 +184,14 @@ ORACLES: dict[str, str] = {
     "ratio_err": f'WITH {RUNS}, a AS (SELECT "Graph", avg("Runtime") AS a, avg("Messages") AS b, {SEM.replace("Messages", "Runtime")} AS ea, {SEM} AS eb FROM runs GROUP BY 1) SELECT "Graph", round(abs(a / b) * sqrt(pow(ea / a, 2) + pow(eb / b, 2)), 5) AS err FROM a',
     "combined_err": f'WITH {RUNS}, a AS (SELECT "Graph", "Setting", {SEM} AS e FROM runs GROUP BY 1, 2) SELECT "Graph", round(sqrt(sum(e * e)) / count(e), 6) AS err FROM a GROUP BY 1',
     "expected_reach": f'WITH {SCORES}, {INITIAL} SELECT "user", round(greatest(1.0, 1 + ln(greatest(1e-7, 0.6::DOUBLE * 0.8::DOUBLE * 0.9::DOUBLE) / greatest(1e-7, init_val)) / ln(0.8::DOUBLE)), 5) AS reach FROM init',
+    "reach_comparison": REACH + f', top AS (SELECT avg(init_val) AS first FROM init), hops AS (SELECT greatest(1.0, 1 + ln(greatest(1e-7, {TOL}::DOUBLE * {ALPHA}::DOUBLE * first) / greatest(1e-7, {ALPHA}::DOUBLE * init_val)) / ln({ALPHA}::DOUBLE)) AS h FROM init, top), far AS (SELECT max(dist) AS far FROM reach GROUP BY source), x AS (SELECT avg(h) AS em, stddev_samp(h) / sqrt(count(h)) AS ee FROM hops), y AS (SELECT avg(far) AS am, stddev_samp(far) / sqrt(count(far)) AS ae FROM far) SELECT round(em, 5) AS expected_mean, round(ee, 5) AS expected_err, round(am, 5) AS actual_mean, round(ae, 5) AS actual_err FROM x, y',
     "param_grid": "SELECT round(a.i / 10, 6) AS tol, round(b.i / 10, 6) AS transmission FROM range(1, 11) a(i), range(1, 10) b(i)",
     "pair_combinations": "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey",
-    "union_runs": f"WITH {RUNS}, u AS (SELECT 'lfr' AS g, * FROM runs WHERE \"SendTolerance\" < 0.03 UNION ALL SELECT 'power', * FROM runs WHERE \"SendTolerance\" > 0.07) SELECT g AS \"Graph\", \"Setting\", count(*) AS n, max(\"Runtime\") AS top FROM u GROUP BY 1, 2",
+    "union_runs": f"WITH {RUNS}, u AS (SELECT 'lfr' AS g, * FROM runs WHERE \"SendTolerance\" < 0.03 UNION ALL SELECT 'geometric', * FROM runs WHERE \"SendTolerance\" BETWEEN 0.03 AND 0.07 UNION ALL SELECT 'power', * FROM runs WHERE \"SendTolerance\" > 0.07) SELECT g AS \"Graph\", \"Setting\", count(*) AS n, max(\"Runtime\") AS top FROM u GROUP BY 1, 2",
     "synth_values": f'WITH {SCORES}, u AS (SELECT DISTINCT "user" AS u FROM scores), k AS (SELECT u, CAST(i AS INT) AS k FROM u, range(0, 3) t(i)) SELECT u AS "user", k, round(CASE WHEN {uniform(7, "risk", "u")} < 0.2 THEN 0.5 ELSE 0.0 END + 0.5 * {uniform(7, "value", "u", "k")}, 6) AS val FROM k',
     "synth_times": f'WITH {SCORES}, u AS (SELECT DISTINCT "user" AS u FROM scores), g AS (SELECT u, CAST(d AS INT) AS d, CAST(i AS INT) AS i, {uniform(7, "time", "u", "i")} * 43200 AS x FROM u, range(0, 3) a(d), range(0, 2) b(i)) SELECT u AS "user", d * 2 + i AS k, CAST(floor(1700000000 - 86400 * d + sum(x) OVER (PARTITION BY u, d ORDER BY i)) AS BIGINT) AS time FROM g',
     "synth_walk": f'WITH RECURSIVE {SCORES}, u AS (SELECT DISTINCT "user" AS u FROM scores), w AS (SELECT u, 0 AS k, greatest(-1.0, least(1.0, {normal(7, "lat.start", "u")})) AS x FROM u UNION ALL SELECT u, k + 1, least(greatest(x + (-0.4 + 0.8 * {uniform(7, "lat.step", "u", "k + 1")}), -1.0), 1.0) FROM w WHERE k < 4) SELECT u AS "user", CAST(k AS INT) AS k, round(x, 6) AS x FROM w',
     "synth_geometric": f"WITH p AS (SELECT i AS u, {uniform(7, 'x', 'i')} AS x, {uniform(7, 'y', 'i')} AS y FROM range(0, 200) t(i)) SELECT a.u AS u1, b.u AS u2 FROM p a JOIN p b ON a.u < b.u WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= least(1.0, pow(0.25, log10(200) - 1))",
-    "isolated_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "isolated_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "islands_gaps": "WITH d AS (SELECT DISTINCT user_id, (epoch_us(ts) // 1000000) // 86400 AS day FROM events), k AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d) SELECT user_id, min(day) AS start, max(day) + 1 AS \"end\" FROM k GROUP BY user_id, g",
 }

@@ -122,10 +122,16 @@ def update_stats(spark, d):
     return propagation.update_stats(out).select("nodes", "updates", *[_r(c, 5).alias(c) for c in ("min_update", "max_update", "avg_update", "std_update")])
 
 
+@query
+def update_counts(spark, d):
+    """How often each user's exposure rose, by supersteps."""
+    return propagation.propagate(fixtures.scores(spark, d), fixtures.contacts(spark, d), FLAGSHIP).updates
+
+
 @query
 def run_log(spark, d):
     log = propagation.propagate(fixtures.scores(spark, d), fixtures.contacts(spark, d), FLAGSHIP).log
-    return log.select("Statistics.Nodes", "Statistics.Edges", "Statistics.Updates", "Parameters.Transmission", "Parameters.SendTolerance", "Parameters.TimeBufferInSeconds")
+    return log.select("Statistics.Nodes", "Statistics.Edges", "Statistics.Updates", "Statistics.MinUpdates", "Statistics.MaxUpdates", "Statistics.AvgUpdates", "Statistics.StdUpdates", "Parameters.Transmission", "Parameters.SendTolerance", "Parameters.TimeBufferInSeconds")
 
 
 @query
@@ -212,7 +218,7 @@ def reach_hist(spark, d):
 def _supplier_graph(spark, d) -> DataFrame:
     """A sparse graph of suppliers for distances."""
     s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
-    pairs = s.select(F.col("k").alias("u1"), F.explode(F.array((F.col("k") * 7 + 3) % 100, F.floor(F.col("k") / 2))).alias("u2"), F.lit(0).cast("long").alias("time"))
+    pairs = s.select(F.col("k").alias("u1"), F.explode(F.array((F.col("k") * 7 + 3) % s.count(), F.floor(F.col("k") / 2))).alias("u2"), F.lit(0).cast("long").alias("time"))
     return graph.directed(pairs)
 
 
@@ -238,7 +244,10 @@ def graph_stats(spark, d):
     dist = graph.distances(e)
     size, rad = graph.graph_size(e), graph.radius_diameter(dist)
     eff = graph.harmonic(dist, size.first()["nodes"]).agg(_r(F.avg("harmonic"), 5).alias("efficiency"))
-    return size.crossJoin(rad).crossJoin(eff).crossJoin(graph.degrees(e).agg(F.max("degree").alias("max_degree")))
+    degree = graph.basic_stats(graph.degrees(e), "degree").select(F.col("min").alias("min_degree"), F.col("max").alias("max_degree"), _r("mean", 3).alias("mean_degree"), _r("std", 3).alias("std_degree"))
+    scores = graph.vertices(e).select("user", (F.col("user") % 10 / 10.0).alias("val"), (F.col("user") % 3 - 1).alias("time"))
+    ratio = reachability.ratio(reachability.reach(scores, e, FLAGSHIP), graph.vertices(e), dist).select("actual", "ideal", "reachable", *[_r(c).alias(c) for c in ("ratio_compat", "ratio_reachable")])
+    return size.crossJoin(rad).crossJoin(eff).crossJoin(degree).crossJoin(ratio)  # one row each
 
 
 @query
@@ -363,6 +372,13 @@ def expected_reach(spark, d):
     return i.select("user", _r(e, 5).alias("reach"))
 
 
+@query
+def reach_comparison(spark, d):
+    """Expected and actual reach of the first messages, with their errors."""
+    out = reachability.comparison(fixtures.scores(spark, d), _reach(spark, d), FLAGSHIP)
+    return out.select(*[_r(c, 5).alias(c) for c in out.columns])
+
+
 @query
 def param_grid(spark, d):
     grid = analysis.parameter_grid(spark, [k / 10 for k in range(1, 11)], [k / 10 for k in range(1, 10)])
@@ -377,7 +393,7 @@ def pair_combinations(spark, d):
 @query
 def union_runs(spark, d):
     runs = _runs(spark, d).drop("Graph")
-    out = analysis.union_runs(lfr=runs.where("SendTolerance < 0.03"), power=runs.where("SendTolerance > 0.07"))
+    out = analysis.union_runs(lfr=runs.where("SendTolerance < 0.03"), geometric=runs.where("SendTolerance between 0.03 and 0.07"), power=runs.where("SendTolerance > 0.07"))
     return out.groupBy("Graph", "Setting").agg(F.count(F.lit(1)).alias("n"), F.max("Runtime").alias("top"))
 
 
@@ -426,9 +442,8 @@ def membership_labels(spark, d):
 
 @query
 def isolated_orders(spark, d):
-    """Customers without a large order: the anti-join on larger tables."""
+    """Customers without an order: the anti-join on larger tables."""
     c, o = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
-    o = o.where("o_totalprice > 300000")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 

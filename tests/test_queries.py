@@ -44,8 +44,9 @@ def test_entry():
 
 def test_harmonic_divides_by_the_graph_s_own_size(spark, small_dir):
     near = {}
-    for (k,) in spark.read.parquet(f"{small_dir}/supplier.parquet").select("s_suppkey").collect():
-        for other in ((k * 7 + 3) % 100, k // 2):
+    keys = [k for (k,) in spark.read.parquet(f"{small_dir}/supplier.parquet").select("s_suppkey").collect()]
+    for k in keys:
+        for other in ((k * 7 + 3) % len(keys), k // 2):
             if other != k:
                 near.setdefault(k, set()).add(other)
                 near.setdefault(other, set()).add(k)

@@ -39,7 +39,7 @@ from emberline.llm.tokens import columns
 
 MIN_WORDS = 6
 WINDOW, GRAM = 16, 8
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 512 << 10
 UNIT, ANCHOR = 0, 1
 _bases = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _mix = np.uint64(0xD6E8FEB86659FD93)

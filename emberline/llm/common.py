@@ -10,6 +10,7 @@ import gc
 import math
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +74,14 @@ _where: dict[int, tuple[DataFrame, str]] = {}
 
 def release(spark: SparkSession, *staged: DataFrame) -> None:
     """Give disk back within a query: delete staged tables that nothing reads any more, and have the driver
-    collect its garbage, as Spark removes the files of an exchange when no plan refers to it."""
+    collect its garbage, as Spark removes the files of an exchange when no plan refers to it. The first round
+    lets go of what Python's objects held; only the second finds the plans unused."""
     for df in staged:
         drop_path(spark, _where.pop(id(df))[1])
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -84,7 +85,7 @@ def test_redact(nasty, empty):
     assert secret_scan.redact(empty).count() == 0
 
 
-@pytest.mark.parametrize("text", ["pwd: kqzvxwplmtrbnydf", "auth = 4829157301648829", "Bearer qmzkvjxwplhtrbnydfgc", "auth: https://user:password@host", "pwd: ${kqzvxwplmtrbnydf"])
+@pytest.mark.parametrize("text", ["pwd: kqzvxwplmtrbnydf", "pwd: zqxjkvbpwmfyg", "db pass: correcthorsebatterystaple", "auth = 4829157301648829", "Bearer qmzkvjxwplhtrbnydfgc", "auth: https://user:password@host", "pwd: ${kqzvxwplmtrbnydf"])
 def test_cost_alone_decides(text):
     _, added = secret_scan.scan_text(text)
     assert [text[s:e] for s, _, e, _ in added] == [text.split()[-1]]
@@ -352,30 +353,105 @@ def test_quality(nasty, empty, labels):
 # --- 7 ---
 
 
-def test_marginals_equal_enumeration():
-    tagger = toxicity.Tagger({"bad": 0, "worse": 1})
-    tagger.emit, tagger.bias, tagger.rest = np.array([2.0, 3.5]), -1.0, -1.5
-    tagger.trans = np.array([[0.4, -0.7], [-0.2, 0.9]])
-    text = "so bad a day and worse bad it is then"
-    words = text.split()
-    scores = [tagger.score(tagger.ids(w)) for w in words]
-    total, on = 0.0, np.zeros(len(words))
-    for bits in range(1 << len(words)):
-        y = [bits >> k & 1 for k in range(len(words))]
-        p = math.exp(sum(s for s, v in zip(scores, y, strict=True) if v) + sum(tagger.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
-        total += p
-        on += p * np.array(y)
-    n, active = tagger.active(text)
-    assert n == len(words) and [i for i, _ in active] == [1, 5, 6]
-    assert np.allclose(tagger.marginals(n, active), (on / total)[[1, 5, 6]])
+def some_tagger(seed: int = 1) -> toxicity.Tagger:
+    rng = np.random.default_rng(seed)
+    tagger = toxicity.Tagger({"vile": 0, "grumb*": 1, "*mbler": 2})
+    tagger.emit, tagger.rest, tagger.trans = rng.normal(size=9), -1.3, rng.normal(size=(2, 2))
+    return tagger
+
+
+def brute_features(tagger, words) -> list[tuple[int, ...]]:
+    """Features of every token, looked up one by one."""
+    own = []
+    for w in words:
+        low = w.lower()
+        marks = [low, *[low[:k] + "*" for k in (5, 6, 7) if len(low) > k], *["*" + low[-k:] for k in (5, 6, 7) if len(low) > k]]
+        own.append([tagger.lexicon[f] for f in marks if f in tagger.lexicon])
+    out = []
+    for i, w in enumerate(words):
+        before, after = i > 0 and bool(own[i - 1]), i + 1 < len(words) and bool(own[i + 1])
+        x = list(own[i])
+        if own[i]:
+            x.append(toxicity.LEXICAL)
+            x += [toxicity.UPPER] if len(w) > 1 and w.isupper() else [toxicity.CAPITAL] if w[0].isupper() else []
+        elif before or after:
+            x.append(toxicity.BESIDE)
+        out.append(tuple(x + [toxicity.BEFORE] * before + [toxicity.AFTER] * after))
+    return out
+
+
+def brute_marginals(tagger, words) -> np.ndarray:
+    """Forward and backward, token by token, in logarithms."""
+    local = np.array([[0.0, sum(tagger.emit[i] for i in x) if x else tagger.rest] for x in brute_features(tagger, words)])
+    forward, backward = local.copy(), np.zeros_like(local)
+    for t in range(1, len(words)):
+        forward[t] += np.logaddexp(*(forward[t - 1][:, None] + tagger.trans))
+    for t in range(len(words) - 2, -1, -1):
+        backward[t] = np.logaddexp(*(tagger.trans + local[t + 1] + backward[t + 1]).T)
+    both = forward + backward
+    return 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+
+
+@pytest.mark.parametrize("text", ["so vile a day and Grumbling VILE it is", "a b c", "vile", "a b vile c d e f g h i Fumbler", "vile vile a", "x " * 700 + "grumbler " + "y " * 900])
+def test_marginals(text):
+    """Against enumeration of all labellings where the text is short, and token by token where it is long."""
+    tagger, words = some_tagger(), text.split()
+    want = brute_marginals(tagger, words)
+    if len(words) < 12:
+        scores = [tagger.score(x) for x in brute_features(tagger, words)]
+        total, on = 0.0, np.zeros(len(words))
+        for bits in range(1 << len(words)):
+            y = [bits >> k & 1 for k in range(len(words))]
+            p = math.exp(sum(s for s, v in zip(scores, y, strict=True) if v) + sum(tagger.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += p
+            on += p * np.array(y)
+        assert np.allclose(want, on / total)
+    active = tagger.active(words)
+    assert active == [(i, x) for i, x in enumerate(brute_features(tagger, words)) if x]
+    got, total = tagger.marginals(len(words), active)
+    assert np.allclose(got, want[[i for i, _ in active]]) and total == pytest.approx(want.sum())
 
 
 def test_training_raises_the_likelihood():
     tagger = toxicity.Tagger({"bad": 0, "fine": 1})
     tagger.train([([(), (0,), ()], [0, 1, 0]), ([(), (1,), (0,)], [0, 0, 1]), ([(), (), (1,), ()], [0, 0, 0, 0])] * 20)
     assert tagger.emit[0] > tagger.emit[1]
-    p = tagger.marginals(*tagger.active("a bad day fine"))
-    assert p[0] > 0.5 > p[1]
+    tagger.train([([(0,), ()], [1, 1]), ([(), ()], [0, 0])] * 20)
+    assert tagger.trans[1, 1] > tagger.trans[1, 0] and tagger.trans[0, 0] > tagger.trans[0, 1]
+
+
+def test_windows_hold_every_lexicon_token():
+    tagger = some_tagger()
+    words = (["a"] * 9 + ["vile", "x", "vile"]) * 30 + ["vile"] * 200 + ["b"] * 20
+    made = list(toxicity.labelled(tagger, words, 1))
+    assert sum(0 in x for xs, _ in made for x in xs) == words.count("vile") and all(len(xs) <= toxicity.PIECE for xs, _ in made)
+    assert sum(y for _, ys in made for y in ys) == words.count("vile") + 30  # and the tokens between two
+    assert all(y == 0 for _, ys in toxicity.labelled(tagger, words, 0) for y in ys)
+
+
+def test_offsets_are_of_the_text_itself(spark):
+    """Lower case of a dotted capital I has another length."""
+    texts = ["İİİ vile grumbler", "İ" * 9 + " a b Vile", "", None, "vile", "ß grumbler\nİvile vile"]
+    tagger = some_tagger()
+    tagger.emit[:3], tagger.emit[3:], tagger.trans = 12.0, -2.0, np.zeros((2, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in toxicity.tag(docs, tagger).collect()}
+    assert got[0] == "4:8,9:17"
+    for k, text in enumerate(texts):
+        found = list(re.finditer(r"\w+", text or ""))
+        p = brute_marginals(tagger, [m[0] for m in found]) if found else []
+        assert got[k] == ",".join(f"{m.start()}:{m.end()}" for m, x in zip(found, p, strict=True) if x >= toxicity.SPAN)
+
+
+def test_toxicity_on_a_table(spark):
+    """Held-out recall and precision on the smallest table with labels enough."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op7_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in toxic]
+    right = sum(r["predicted"] and toxic[r["doc_id"]] for r in rows)
+    assert right > 0.9 * sum(toxic[r["doc_id"]] for r in rows) and right > 0.9 * sum(r["predicted"] for r in rows)
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.common import LONG_MAX, release, small_batches, stage, table
-from emberline.llm.tokens import columns
 
 MIN_WORDS = 6
 WINDOW, GRAM = 16, 8
@@ -173,30 +172,27 @@ class Words:
         return self.doc[at], runs[at].view("i8")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list[bytes], list[list]]]:
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list[bytes], list[pa.Array]]]:
     """Texts in UTF-8 and the named columns, GROUP_BYTES of text at a time or one text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary()).to_pylist()
-        rest = columns(batch, *names)
+        rest = [batch.column(batch.schema.get_field_index(n)) for n in names]
         at, size = 0, 0
         for k, t in enumerate(texts):
             if size and size + len(t) > GROUP_BYTES:
-                yield texts[at:k], [c[at:k] for c in rest]
+                yield texts[at:k], [c.slice(at, k - at) for c in rest]
                 at, size = k, 0
             size += len(t)
         if at < len(texts):
-            yield texts[at:], [c[at:] for c in rest]
+            yield texts[at:], [c.slice(at) for c in rest]
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans, by start."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = out[-1][0], max(e, out[-1][1])
-        else:
-            out.append((s, e))
-    return out
+def merged(packed: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans, each start << 32 | end, by start."""
+    packed = np.sort(packed)
+    start, reach = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1]))) if len(packed) else np.zeros(0, "i8")
+    return list(zip(start[new].tolist(), reach[np.append(new[1:], len(packed)) - 1].tolist(), strict=True)) if len(new) else []
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -210,7 +206,7 @@ def _marks(keyed: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, (docs, keys) in _groups(batches, "_doc", "_key"):
-            words, doc_ids, keys = Words(texts), np.array(docs, "i8"), np.array(keys, "i8")
+            words, doc_ids, keys = Words(texts), docs.to_numpy(), keys.to_numpy()
             i, j = words.units(min_words)
             text, anchor = words.anchors()
             own = np.concatenate((words.doc[i], text))
@@ -231,17 +227,19 @@ def _windows(near: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, (docs, keys, anchors, spans) in _groups(batches, "_doc", "_key", "_anchors", "_spans"):
-            words, doc_ids, keys = Words(texts), np.array(docs, "i8"), np.array(keys, "i8")
+            words, doc_ids, keys = Words(texts), docs.to_numpy(), keys.to_numpy()
             low, _ = words.smallest()
             # an anchor that occurs twice does so for every text that has it
-            at = np.flatnonzero(np.isin(low.view("i8"), np.array([a for x in anchors for a in x], "i8")) & (low > 0))
+            at = np.flatnonzero(np.isin(low.view("i8"), anchors.flatten().to_numpy()) & (low > 0))
             base = words.base[words.doc[at]]
             start, end = words.start[at], words.end[at + WINDOW - 1]
-            held = np.array([(words.base[k] + s["start"], words.base[k] + s["end"]) for k, x in enumerate(spans) for s in x or ()], "i8").reshape(-1, 2)
-            if len(held):
-                held = held[np.argsort(held[:, 0], kind="stable")]
-                k = np.searchsorted(held[:, 0], base + start, "right") - 1
-                free = (k < 0) | (np.maximum.accumulate(held[:, 1])[k] < base + end)
+            packed = spans.flatten().to_numpy()
+            if len(packed):
+                shift = np.repeat(words.base, spans.value_lengths().fill_null(0).to_numpy())
+                order = np.argsort(shift + (packed >> 32), kind="stable")
+                held, reach = (shift + (packed >> 32))[order], np.maximum.accumulate((shift + (packed & 0xFFFFFFFF))[order])
+                k = np.searchsorted(held, base + start, "right") - 1
+                free = (k < 0) | (reach[k] < base + end)
                 at, start, end = at[free], start[free], end[free]
             own = words.doc[at]
             both = [pa.array(words.digest(k, at, at + WINDOW).view("i8")) for k in (0, 1)]
@@ -251,14 +249,14 @@ def _windows(near: DataFrame) -> DataFrame:
 
 
 def _later(units: DataFrame) -> DataFrame:
-    """The spans of units that have an earlier occurrence, without what overlaps the first."""
+    """(_doc, _key, span): start << 32 | end of units that have an earlier occurrence, without what overlaps the first."""
     place = F.struct("_doc", "_key", "start", "end")
     counted = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
     many = stage(counted.where("_n > 1").select("d1", "d2", "_first"), "repeated")
     release(units.sparkSession)
     same = (F.col("_doc") == F.col("_first._doc")) & (F.col("_key") == F.col("_first._key"))
     start = F.when(same, F.greatest("start", "_first.end")).otherwise(F.col("start"))
-    return units.join(many, ["d1", "d2"]).where(place > F.col("_first")).select("_doc", "_key", start.alias("start"), "end").where("start < end")
+    return units.join(many, ["d1", "d2"]).where(place > F.col("_first")).select("_doc", "_key", start.alias("start"), "end").where("start < end").select("_doc", "_key", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long")).alias("span"))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +264,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs)
-    gather = lambda spans: spans.groupBy("_doc", "_key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    gather = lambda spans: spans.groupBy("_doc", "_key").agg(F.collect_set("span").alias("_spans"))
     marks = stage(_marks(keyed, min_words), "marks")
     of_units = stage(_later(marks.where(f"kind = {UNIT}").drop("kind")), "spans")
     release(spark)
@@ -285,20 +283,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For each row doc_id, n_chars, n_removed, removed_chars and removed (start:end, comma-joined)."""
-    done = _cleaned(docs, min_words)
-    return done.select(
+    return _cleaned(docs, min_words).select(
         F.col("_row")["doc_id"].cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col("_row")["text"], F.lit(""))).cast("long").alias("n_chars"),
-        F.size("_gone").cast("long").alias("n_removed"),
-        F.aggregate("_gone", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long")).alias("removed_chars"),
-        _offsets(),
+        F.coalesce("_done.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_done.removed_chars", F.lit(0)).cast("long").alias("removed_chars"),
+        F.coalesce("_done.removed", F.lit("")).alias("removed"),
     )
 
 
-def _offsets():
-    return F.array_join(F.transform("_gone", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed")
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans, the blanks after each, and lines that they leave empty."""
     out, at = [], 0
@@ -313,37 +306,40 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
-    """_row (docs' columns), _gone (disjoint spans by start) and _clean, null where nothing goes."""
-    schema = docs.schema
-    keyed, spans = repeats(docs, min_words)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """A text without its spans, and which they are; null where nothing goes."""
+    clean, gone, count, chars = [], [], [], []
+    for t, x in zip(text.to_pylist(), spans, strict=True):
+        found = merged(x.values.to_numpy()) if t is not None and x.is_valid else []
+        clean.append(without(t, found) if found else None)
+        gone.append(",".join(f"{s}:{e}" for s, e in found) if found else None)
+        count.append(len(found))
+        chars.append(sum(e - s for s, e in found))
+    return pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.array(gone, pa.string()), pa.array(count, pa.int64()), pa.array(chars, pa.int64())], ["clean", "removed", "n_removed", "removed_chars"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_row")).field("text").to_pylist()
-            (found,) = columns(batch, "_spans")
-            gone = [merged([(s["start"], s["end"]) for s in x]) if x else [] for x in found]
-            clean = [without(t, x) if x else None for t, x in zip(texts, gone, strict=True)]
-            yield batch.select(["_row"]).append_column("_gone", pa.array([[{"start": s, "end": e} for s, e in x] for x in gone], kind)).append_column("_clean", pa.array(clean, pa.string()))
 
-    row = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema) + ">"
-    return keyed.drop("_text").join(spans, ["_doc", "_key"], "left").select("_row", "_spans").mapInArrow(run, f"_row {row}, _gone array<struct<start:int,end:int>>, _clean string")
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """_row (docs' columns) and _done (clean, removed, n_removed, removed_chars). Only texts with something to remove go
+    through Python."""
+    keyed, spans = repeats(docs, min_words)
+    joined = keyed.drop("_text").join(spans, ["_doc", "_key"], "left")
+    text = F.when(F.col("_spans").isNotNull(), F.col("_row")["text"])
+    cut = F.arrow_udf(_cut, "clean string, removed string, n_removed long, removed_chars long")
+    return joined.select("_row", cut(text, F.col("_spans")).alias("_done"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all rows and columns, without repeated units in text; n_chars, if there, is renewed."""
-    names, schema = docs.columns, docs.schema
-    done = _cleaned(docs, min_words)
-    renewed = {"text": F.coalesce("_clean", F.col("_row")["text"])}
-    if "n_chars" in names:
-        renewed["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
-    return done.select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in names])
+    clean = F.col("_done.clean")
+    renewed = {"text": F.coalesce(clean, F.col("_row")["text"])}
+    if "n_chars" in docs.columns:
+        renewed["n_chars"] = F.when(clean.isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return _cleaned(docs, min_words).select(*[renewed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
-    return done.select(F.col("_row")["doc_id"].cast("long").alias("doc_id"), _offsets(), F.coalesce("_clean", F.col("_row")["text"]).alias("text"))
+    return done.select(F.col("_row")["doc_id"].cast("long").alias("doc_id"), F.coalesce("_done.removed", F.lit("")).alias("removed"), F.coalesce("_done.clean", F.col("_row")["text"]).alias("text"))
 
 
 ORACLE_SQL = {

@@ -270,7 +270,7 @@ def candidate_pairs(spark, d):
 @query
 def segment_overlaps(spark, d):
     segs = search.segments(fixtures.locations(spark, d))
-    found = search.overlaps(segs, None, SEARCH)
+    found = search.overlaps(segs, SEARCH)
     return found.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("seconds"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
@@ -278,14 +278,14 @@ def segment_overlaps(spark, d):
 def proximal_segments(spark, d):
     """Overlaps of a pair at exactly the same place."""
     segs = search.segments(fixtures.locations(spark, d))
-    found = search.overlaps(segs, None, SearchParams(min_dur=0, tol=1.0))
+    found = search.overlaps(segs, SearchParams(min_dur=0, tol=1.0))
     return found.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
 
 
 @query
 def islands(spark, d):
     segs = search.segments(fixtures.locations(spark, d))
-    merged = search.islands(search.overlaps(segs, None, SEARCH))
+    merged = search.islands(search.overlaps(segs, SEARCH))
     return merged.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("end") - F.col("start")).alias("longest"), F.max("start").alias("latest"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def read_contacts(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
 
 def parse_lines(lines: DataFrame, column: str = "value", sep: str = " ") -> DataFrame:
     """The same from a column of lines."""
-    field = F.split(F.trim(F.col(column)), sep)
+    field = F.split(F.btrim(F.col(column)), " +" if sep == " " else re.escape(sep))
     rows = lines.select(field[1].cast("long").alias("u1"), field[2].cast("long").alias("u2"), field[0].cast("long").alias("time"))
     return collapse(rows)
 

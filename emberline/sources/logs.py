@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators.graph import dense_index
+
 
 def read_logs(spark: SparkSession, folder: str, pattern: str = "*", schema: str | None = None) -> DataFrame:
     """Log lines of the files whose names match the pattern, with the file's name in log_file."""
@@ -25,6 +27,30 @@ def project(logs: DataFrame, *keys: str) -> DataFrame:
     return logs.select(*[F.col(k.replace(":", ".")).alias(k.split(":")[-1]) for k in keys])
 
 
+def save_statistics(logs: DataFrame, folder: str, *keys: str) -> None:
+    """Projected columns of run logs, a few rows, as one JSON array; read_document reads it."""
+    rows = project(logs, *keys)
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.mode("overwrite").text(folder)
+
+
+def save_run(exposures: DataFrame, run: str, folder: str, membership: DataFrame | None = None) -> None:
+    """What a run knows of each user, in order of user: (pos, user, membership, symptom, exposure), partitioned by run. It
+    stands for the arrays of a log line, which one row couldn't hold for many users."""
+    rows = exposures.select("user", F.col("init_val").alias("symptom"), F.col("exposure"))
+    parts = rows.select("user", F.lit(0).alias("membership")) if membership is None else membership.toDF("user", "membership")
+    joined = rows.join(parts, "user", "left").join(dense_index(rows.select("user")).withColumnRenamed("idx", "pos"), "user")
+    joined.select("pos", "user", "membership", "symptom", "exposure", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(folder)
+
+
+def with_arrays(log: DataFrame, run_rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A log of one row with Membership, SymptomScores and ExposureScores as arrays, for runs of up to most users."""
+    if run_rows.limit(most + 1).count() > most:
+        raise ValueError(f"a log line holds up to {most} users; use the table of save_run")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "membership", "symptom", "exposure")))
+    held = run_rows.agg(ordered.alias("_all")).select(F.col("_all.membership").alias("Membership"), F.col("_all.symptom").alias("SymptomScores"), F.col("_all.exposure").alias("ExposureScores"))
+    return log.crossJoin(held)  # one row each
+
+
 def append_log(log: DataFrame, folder: str) -> None:
     log.coalesce(1).write.mode("append").json(folder)
 

@@ -70,6 +70,26 @@ def test_edge_cases(spark):
     assert search.contacts(locations(spark, []), p).count() == 0
 
 
+def test_hot_cells_and_search_log(spark):
+    """Cells cut into blocks give the same overlaps; pairs are asked for after their intervals."""
+    rng = random.Random(5)
+    rows = [(u, 60 * k + rng.randrange(50), 40.0 + rng.randrange(3) * 0.0005, -81.0 + rng.randrange(2) * 0.0005) for u in range(14) for k in range(30)]
+    locs = spark.createDataFrame(rows, "user long, time long, lat double, lon double")
+    p = SearchParams(min_dur=40, radius=1.0, tol=60.0, bucket=600)
+    segs = search.segments(locs)
+    whole, cut = (sorted(map(tuple, search.overlaps(segs, p, n).collect())) for n in (10_000, 7))
+    assert whole == cut and len(whole) > 100
+    pairs = {tuple(r) for r in search.candidate_pairs(locs, p.radius).collect()}
+    lasting = {}
+    for u1, u2, s, e in map(tuple, search.islands(search.overlaps(segs, p)).collect()):
+        if e - s >= 40 and (u1, u2) in pairs:
+            lasting[u1, u2] = max(s, lasting.get((u1, u2), s))
+    found, log = search.search(locs, p)
+    assert {(r["u1"], r["u2"]): r["time"] for r in found.collect()} == lasting
+    row = log.first()
+    assert row["Inputs"] == 14 and row["Contacts"] == len(lasting) and row["Workers"] > 0 and row["RadiusInMeters"] == 1.0
+
+
 def test_candidates_near_cell_borders(spark):
     step = math.degrees(0.9 / EARTH_RADIUS_METERS)
     rows = [(0, 0, 60.0, 10.0), (1, 9, 60.0 + step, 10.0), (2, 5, 60.0, 10.0 + step / math.cos(math.radians(60))), (3, 5, 60.0, 10.0 + 3 * step)]

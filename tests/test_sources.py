@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import analysis, graph, partitioning
+from emberline.operators import analysis, graph, partitioning, propagation
 from emberline.sources import contact_text, logs, synth
 from emberline.sources.dataset import Dataset, read_graphml, write_graphml
 from emberline.streaming.exposure import ExposureStream, attempted_contacts
@@ -20,7 +21,7 @@ def test_contact_text(spark, tmp_path):
     assert sorted(map(tuple, contact_text.shifted(contact_text.with_dense_ids(got), 1000).collect())) == [(0, 1, 1040), (1, 2, 1020)]
     path.write_text("20\t7\t3\n30\t3\t7\n")
     assert [tuple(r) for r in contact_text.read_contacts(spark, str(path), "\t").collect()] == [(3, 7, 30)]
-    assert sorted(map(tuple, contact_text.parse_lines(spark.createDataFrame([("5 2 1 x",), ("9 1 2 y",)], "value string")).collect())) == [(1, 2, 9)]
+    assert sorted(map(tuple, contact_text.parse_lines(spark.createDataFrame([("5 2 1 x",), (" 9  1 2 y",)], "value string")).collect())) == [(1, 2, 9)]
 
 
 def test_logs(spark, tmp_path):
@@ -40,6 +41,21 @@ def test_logs(spark, tmp_path):
     assert sorted((r["pos"], r["value"]) for r in logs.load_arrays(spark, str(tmp_path / "arrays")).collect()) == [(0, 5), (1, 6)]
 
 
+def test_statistics_and_run_tables(spark, tmp_path):
+    log = spark.createDataFrame([((3, 0.5), ("x",)), ((4, 1.5), ("y",))], "Statistics struct<Updates:long,Runtime:double>, Parameters struct<Name:string>")
+    logs.save_statistics(log, str(tmp_path / "stat"), "Statistics:Updates", "Parameters:Name")
+    assert sorted(map(tuple, logs.read_document(spark, str(tmp_path / "stat")).select("Updates", "Name").collect())) == [(3, "x"), (4, "y")]
+    exposed = spark.createDataFrame([(9, 0.1, 0.4), (2, 0.3, 0.3)], "user long, init_val double, exposure double")
+    for run, part in (("r1", None), ("r2", spark.createDataFrame([(9, 1), (2, 0)], "user long, part int"))):
+        logs.save_run(exposed, run, str(tmp_path / "runs"), part)
+    rows = logs.load_arrays(spark, str(tmp_path / "runs")).where("run = 'r2'")
+    assert sorted(map(tuple, rows.select("pos", "user", "membership", "symptom", "exposure").collect())) == [(0, 2, 0, 0.3, 0.3), (1, 9, 1, 0.1, 0.4)]
+    line = logs.with_arrays(log.limit(1), rows).first()
+    assert (line["Membership"], line["SymptomScores"], line["ExposureScores"]) == ([0, 1], [0.3, 0.1], [0.3, 0.4])
+    with pytest.raises(ValueError, match="up to 1"):
+        logs.with_arrays(log, rows, 1)
+
+
 def test_dataset_and_graphml(spark, tmp_path):
     data = synth.experiment(spark, 30, synth.power_law_cluster_graph(spark, 30, 1), now=1_000_000_000, days=3)
     data.save(str(tmp_path / "set"))
@@ -48,6 +64,12 @@ def test_dataset_and_graphml(spark, tmp_path):
     assert sorted(map(tuple, back.contacts.collect())) == sorted(map(tuple, data.contacts.collect())) and back.scores.count() == 90
     write_graphml(data.graph, str(tmp_path / "graph"))
     assert sorted(map(tuple, read_graphml(spark, str(tmp_path / "graph")).collect())) == sorted(map(tuple, data.graph.collect()))
+    write_graphml(data.contacts, str(tmp_path / "timed"))
+    assert sorted(map(tuple, read_graphml(spark, str(tmp_path / "timed")).collect())) == sorted(map(tuple, data.contacts.select("u1", "u2", "time").collect()))
+    (file,) = (tmp_path / "timed").glob("part-*")
+    found = ElementTree.parse(file).getroot()
+    tags = [e.tag.rpartition("}")[2] for e in found.iter()]
+    assert tags.count("node") == 30 and tags.count("key") == 1 and tags.count("edge") == data.contacts.count()
     (tmp_path / "g.graphml").write_text('<graphml><graph><edge source="n1" target="n5"><data key="e_time">77</data></edge><edge source="n2" target="n3"><data key="e_time">78</data></edge></graph></graphml>')
     assert sorted(map(tuple, read_graphml(spark, str(tmp_path / "g.graphml")).collect())) == [(1, 5, 77), (2, 3, 78)]
 
@@ -113,6 +135,16 @@ def test_analysis(spark):
     assert [tuple(r) for r in analysis.histogram(g, ["g"], "v").where("g = 'a'").orderBy("v").select("v", "share").collect()] == [(1.0, 0.5), (4.0, 0.5)]
     e = g.agg(analysis.combined_error("v").alias("c"), analysis.sem("v").alias("s")).first()
     assert e["c"] == pytest.approx(math.sqrt(17) / 3) and e["s"] == pytest.approx(math.sqrt(((1 - 5 / 3) ** 2 + (4 - 5 / 3) ** 2 + (5 / 3) ** 2) / 2) / math.sqrt(3))
+    rows = [(rng.choice("abc"), None if rng.random() < 0.1 else rng.randrange(30) / 7) for _ in range(500)] + [("d", None), (None, 2.0), (None, 5.0)]
+    many = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for r in analysis.describe(many, ["g"], "v").collect():
+        v = sorted(x for k, x in rows if k == r["g"] and x is not None)
+        at = lambda p, v=v: v[int(p * (len(v) - 1))] + (p * (len(v) - 1) % 1) * (v[min(int(p * (len(v) - 1)) + 1, len(v) - 1)] - v[int(p * (len(v) - 1))])
+        assert r["count"] == len(v) and [r["q25"], r["q50"], r["q75"]] == ([pytest.approx(at(p)) for p in (0.25, 0.5, 0.75)] if v else [None] * 3)
+    assert [r["quantile"] for r in analysis.quantiles(many.where("g = 'd'"), ["v"], (0.5, 1.0)).where("v is null").orderBy("quantile").collect()] == [0.5, 1.0]
+    assert analysis.normalize(many, ["g"], ["v"]).count() == len(rows)
+    with pytest.raises(ValueError, match="lists of up to"):
+        analysis.pair_combinations(spark.range(analysis.SHORT_LIST + 1), "id")
     assert analysis.union_runs(x=g, y=g.select("v", "g", "seq")).groupBy("Graph").count().count() == 2
 
 
@@ -147,6 +179,54 @@ def test_stream(spark, tmp_path):
     assert {r["user"]: round(r["exposure"], 6) for r in stream.exposures().collect()} == {0: 0.9, 1: 1.0}
 
 
+def test_stream_state_outlives_the_process(spark, tmp_path):
+    """Batches over several processes, one of them replayed, give what the batch operator gives."""
+    rng = random.Random(3)
+    scores = [(u, rng.random(), rng.randrange(20) * 86_400) for u in range(12) for _ in range(3)]
+    contacts = [(a, b, rng.randrange(20) * 86_400) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(40)) if a != b]
+    s, c = spark.createDataFrame(scores, "user long, val double, time long"), spark.createDataFrame(contacts, "u1 long, u2 long, time long")
+    part = lambda df, rows, k: spark.createDataFrame(rows[k::3], df.schema)
+    for k in range(3):
+        for _ in range(1 + (k == 1)):  # the second batch comes twice
+            ExposureStream(spark, str(tmp_path / "state")).on_scores(part(s, scores, k), k)
+            ExposureStream(spark, str(tmp_path / "state")).on_contacts(part(c, contacts, k), k)
+    stream = ExposureStream(spark, str(tmp_path / "state"))
+    want = propagation.exposures(s, c, stream.params, validate=False)
+    assert sorted(map(tuple, stream.exposures().collect())) == sorted(map(tuple, want.collect()))
+    assert stream.versions("scores") == [1, 2]
+    (tmp_path / "state" / "scores" / "v3").mkdir()  # a version that was not finished
+    assert stream.versions("scores") == [1, 2] and stream.exposures().count() == 12
+    with pytest.raises(ValueError, match="older than"):
+        stream.on_scores(part(s, scores, 0), 0)
+
+
+def test_stream_keeps_old_scores_that_matter(spark, tmp_path):
+    day = 86_400
+    stream = ExposureStream(spark, str(tmp_path / "state"), horizon=2 * day)
+    schema = "user long, val double, time long"
+    stream.on_scores(spark.createDataFrame([(0, 0.9, 0), (0, 0.2, day), (0, 0.5, 2 * day), (1, 0.1, 0)], schema), 0)
+    stream.on_scores(spark.createDataFrame([(1, 0.2, 9 * day)], schema), 1)
+    stream.on_contacts(spark.createDataFrame([(0, 1, 9 * day)], "u1 long, u2 long, time long"), 0)
+    got = {r["user"]: r["exposure"] for r in stream.exposures().collect()}
+    every = spark.createDataFrame([(0, 0.9, 0), (0, 0.2, day), (0, 0.5, 2 * day), (1, 0.1, 0), (1, 0.2, 9 * day)], schema)
+    want = propagation.exposures(every, spark.createDataFrame([(0, 1, 9 * day)], "u1 long, u2 long, time long"), stream.params, validate=False)
+    assert got == {r["user"]: r["exposure"] for r in want.collect()}
+    assert stream._last("scores").where("user = 0").count() == 2  # the largest, and the one that weighs most
+
+
+def test_stream_join(spark, tmp_path):
+    s = spark.createDataFrame([(1, 0.5, 0), (1, 0.7, 500_000), (2, 0.9, 0)], "user long, val double, t long").select("user", "val", F.timestamp_seconds(F.col("t") + 1_000_000_000).alias("ts"))
+    c = spark.createDataFrame([(1, 9, 400_000), (2, 8, 100)], "src long, dest long, t long").select("src", "dest", F.timestamp_seconds(F.col("t") + 1_000_000_000).alias("cts"))
+    for name, df in (("s", s), ("c", c)):
+        df.write.parquet(str(tmp_path / name))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    for lookback, want in ((None, [(1, 9, 0.5), (1, 9, 0.7), (2, 8, 0.9)]), ("2 days", [(1, 9, 0.7), (2, 8, 0.9)])):
+        joined = attempted_contacts(read("s", s), read("c", c), lookback=lookback)
+        out = f"joined{len(want)}"
+        joined.writeStream.format("memory").queryName(out).option("checkpointLocation", str(tmp_path / out)).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(map(tuple, spark.table(out).select("src", "dest", "val").collect())) == want
+
+
 def test_stream_join_plans(spark):
     rate = spark.readStream.format("rate").load()
     s = rate.select(F.col("value").alias("user"), F.lit(0.5).alias("val"), F.col("timestamp").alias("ts"))

@@ -19,6 +19,10 @@ MODULES = {
     "op8_orc_token_ids": "orc_tokens",
     "op9_substring_dedup": "substring_dedup",
     "op10_quality_rules": "quality",
+    "secret_scan_base": "exact",
+    "edited_texts": "exact",
+    "capture_records": "exact",
+    "quality_base": "exact",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -11,10 +12,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from emberline.llm import ngram_join, packing, secret_scan, warc
+from emberline.llm import exact, ngram_join, packing, secret_scan, warc
 from emberline.llm.common import scratch
 from emberline.llm.components import components
 
+from .conftest import nasty_rows
 from .test_texts import brute_quality, brute_repeats, brute_without, by_id
 
 
@@ -175,3 +177,52 @@ def test_pipeline(spark, nasty, labels, byte_bpe, tmp_path):
     want = packing.token_pieces(safe, byte_bpe).collect()
     assert by_id([tuple(r) for r in got]) == by_id([tuple(r) for r in want])
     assert np.sum([r["length"] for r in got]) == np.sum([r["length"] for r in want])
+
+
+@pytest.mark.parametrize("name", sorted(exact.ORACLE_SQL) + ["op9_substring_dedup"])
+def test_fixed_rules_equal_sql(spark, name, tmp_path):
+    """On a small table with what the driver's tables hold, and on those where they are there."""
+    import duckdb
+
+    from emberline import llm
+
+    folders = ["/root/testdata/sf0.001"] if os.path.isdir("/root/testdata/sf0.001") else []
+    rows = [(k, r[1]) for k, r in enumerate(r for r in nasty_rows() if "\xa0" not in (r[1] or "") and "\x85" not in (r[1] or ""))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"http://h{k % 3}.example/{k}", f"<p>{k % 4}</p>" if k else None) for k in range(12)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for folder in [str(tmp_path), *folders]:
+        con = duckdb.connect()
+        for t in ("documents", "pages", "labels"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder == str(tmp_path) else ''}')")
+        want = con.sql(llm.oracle_sql()[name])
+        got = llm.queries()[name](spark, folder).select(*want.columns)
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_recall_on_a_table(spark):
+    """Every link of the smallest table, by brute force over full sets of five words."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    sets = [shingles(r["text"] or "") for r in rows]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for gram in s:
+            holders[gram].append(k)
+    shared = defaultdict(int)
+    for held in holders.values():
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                shared[a, b] += 1
+    links = [0] * len(rows)
+    pairs = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    empty = [k for k, s in enumerate(sets) if not s]
+    pairs |= {(a, b) for a in empty for b in empty if a < b and (rows[a]["text"] or "") == (rows[b]["text"] or "")}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.op6_ngram_jaccard_join(spark, folder).collect()}
+    assert [got[r["doc_id"]] for r in rows] == links and len(pairs) > 100

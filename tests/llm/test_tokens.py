@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberline.llm import orc_tokens, packing, token_codec
 from emberline.llm.bpe import MergeAutomaton
@@ -195,6 +197,35 @@ def test_orc(spark, nasty, empty, word_bpe, word_library):
     assert orc_tokens.read_digests(spark, path).count() == 0
 
 
+def test_orc_lookups_skip_rows(spark, word_bpe):
+    """By row index a lookup reads one group of rows; by Bloom filter, for an id that isn't there, none."""
+    path = scratch(spark, "orc_lookup")
+    orc_tokens.write_ids(spark.range(0, 12_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")), word_bpe, path, parts=1)
+
+    def read(doc_id: int) -> tuple[int, int]:
+        df = orc_tokens.lookup(spark, path, [doc_id])
+        plan = df._jdf.queryExecution().executedPlan()
+        found = len(plan.executeCollect())
+        leaf = plan.collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    found, rows = read(5000)
+    assert found == 1 and 0 < rows <= 1000
+    absent = [read(k) for k in (1001, 4001, 5001, 7003, 9009)]
+    assert all(f == 0 for f, _ in absent) and sum(n == 0 for _, n in absent) >= 4  # one false positive in a hundred
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_ids_equal_the_library_s_on_tables(spark, table, byte_bpe, word_bpe, byte_library, word_library):
+    folder = f"/root/testdata/{table}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    for encoder, library in ((BytePairIds(byte_bpe), byte_library), (WordEndIds(word_bpe), word_library)):
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert encoder.ids(text).tolist() == want.ids
+
+
 def test_local_search_goes_past_many_stuck_bins():
     lengths = [60] * 30 + [30] * 3
     bins = [[i] for i in range(30)] + [[30, 31, 32]]

@@ -192,6 +192,9 @@ ORACLES: dict[str, str] = {
     "synth_times": f'WITH {SCORES}, u AS (SELECT DISTINCT "user" AS u FROM scores), g AS (SELECT u, CAST(d AS INT) AS d, CAST(i AS INT) AS i, {uniform(7, "time", "u", "i")} * 43200 AS x FROM u, range(0, 3) a(d), range(0, 2) b(i)) SELECT u AS "user", d * 2 + i AS k, CAST(floor(1700000000 - 86400 * d + sum(x) OVER (PARTITION BY u, d ORDER BY i)) AS BIGINT) AS time FROM g',
     "synth_walk": f'WITH RECURSIVE {SCORES}, u AS (SELECT DISTINCT "user" AS u FROM scores), w AS (SELECT u, 0 AS k, greatest(-1.0, least(1.0, {normal(7, "lat.start", "u")})) AS x FROM u UNION ALL SELECT u, k + 1, least(greatest(x + (-0.4 + 0.8 * {uniform(7, "lat.step", "u", "k + 1")}), -1.0), 1.0) FROM w WHERE k < 4) SELECT u AS "user", CAST(k AS INT) AS k, round(x, 6) AS x FROM w',
     "synth_geometric": f"WITH p AS (SELECT i AS u, {uniform(7, 'x', 'i')} AS x, {uniform(7, 'y', 'i')} AS y FROM range(0, 200) t(i)) SELECT a.u AS u1, b.u AS u2 FROM p a JOIN p b ON a.u < b.u WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= least(1.0, pow(0.25, log10(200) - 1))",
+    "membership_labels": f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS u, src AS label FROM edges)"
+    + "".join(f", v{k} AS (SELECT e.src AS u, l.label, count(*) AS n FROM edges e JOIN l{k - 1} l ON l.u = e.dest GROUP BY 1, 2), l{k} AS (SELECT u, label FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1)" for k in (1, 2, 3))
+    + ' SELECT u AS "user", label FROM l3',
     "isolated_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "islands_gaps": "WITH d AS (SELECT DISTINCT user_id, (epoch_us(ts) // 1000000) // 86400 AS day FROM events), k AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d) SELECT user_id, min(day) AS start, max(day) + 1 AS \"end\" FROM k GROUP BY user_id, g",
 }

@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it has kept. run()
 writes each stage's rows as Parquet in the shared folder and reads them again as the next one's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, and any others that documents has.
+
+Null and empty texts fail the quality rules, so no later stage sees one unless it made it. Of rows equal in
+doc_id and text, or near copies of each other, near_duplicates keeps one. A null doc_id ranks last and takes part
+everywhere. Very long texts are one row's and one task's in each stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ was when a was made. An arc b out of the state of a is missing if a gadget took
 the left part from which the arc was made; that is looked up along the two spines and kept in the
 transition table.
 
-Encoding walks a pre-split word from left to right and takes the longest arc whose label the rest of
-the word starts with, then shorter ones. One token string at most reaches each position, so a
+Encoding follows the automaton's arcs over the bytes of a pre-split word. As several arcs' labels can be prefixes of what
+is left, it is a longest-match search with retreat over the transition table, not a walk that reads each byte
+once: it takes the longest arc whose label the rest of the word starts with, then shorter ones. One token string at most reaches each position, so a
 position that no arc leads on from is dead for good and is tried once. Decoding emits the arcs' labels.
 """
 

@@ -24,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a temporary folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine
+    (tests) a temporary folder of this process."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="llm_shared_")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
@@ -90,7 +92,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
+    """Bound the rows of an Arrow batch of whole texts, for this session from now on, as plans read the setting when they run.
+    Spark's spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set, bounds its bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key))
     if held <= 0 or held > rows:

@@ -11,7 +11,9 @@ products, each pair in the first band the two share. Pairs never leave the task:
 node the weight it is linked to and one edge to the smallest node of its links' component.
 
 Null and empty texts have no n-grams: equal ones share a class, and they link to no other text. Class
-and copy ids are the smallest doc_id that isn't null.
+and copy ids are the smallest doc_id that isn't null. Repeated rows are copies of each other. A very long
+text's set is one row. Other columns of the input take no part, whatever their names; an empty table gives
+no row.
 """
 
 from __future__ import annotations

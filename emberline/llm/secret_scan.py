@@ -7,7 +7,10 @@ the minimum over all segmentations into words, dates, repeats, keyboard walks an
 characters, in log10 guesses, found by a dynamic programme from left to right.
 
 Spans are code points of the whole text, end exclusive; a base span is the whole match. Null and
-empty texts have no spans. Added spans never overlap base spans.
+empty texts have no spans. Added spans never overlap base spans. Rows are scanned one by one, so repeated
+rows get equal results and an empty table gives none; a very long text is one task's, and the cost of a
+value grows with its length times the longest word. scan() reads doc_id and text alone, redact() keeps all
+columns and names its own so that they don't clash.
 """
 
 from __future__ import annotations

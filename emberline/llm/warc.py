@@ -16,7 +16,9 @@ Files lie in the shared folder. Each attempt of a task writes a file of its own,
 and its captures name that file; what an attempt that was lost has written is never read.
 
 Null html is an empty payload, a null url an empty key. Rows with the same smallest page_id and
-payload are all responses. A null page_id ranks last and is never referred to unless all are null.
+payload are all responses, and as their records are equal they have one record id. A null page_id ranks last
+and is never referred to unless all are null. An empty table gives no archive, an empty catalogue and no row.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations

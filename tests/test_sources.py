@@ -106,6 +106,33 @@ def test_generators(spark):
         synth.power_law_cluster_graph(spark, 2, 1, m=2)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_planted_communities(seed):
+    """Sizes keep their bounds, nearly every stub is matched, and the share of links between communities is near mu."""
+    n, mu = 800, 0.1
+    pairs, home, degree = synth.planted_communities(n, seed, 3, 2, mu, (3, 50), (10, 100))
+    sizes = [list(home.values()).count(k) for k in set(home.values())]
+    assert sum(sizes) == n and min(sizes) >= 10 and max(sizes) <= 100
+    got = [0] * n
+    for a, b in pairs:
+        assert a < b
+        got[a] += 1
+        got[b] += 1
+    assert all(x <= y for x, y in zip(got, degree, strict=True)) and sum(got) >= 0.98 * sum(degree)
+    between = sum(home[a] != home[b] for a, b in pairs) / len(pairs)
+    assert abs(between - mu) < 0.06
+
+
+def test_label_propagation_finds_two_cliques(spark):
+    """Two cliques and one link between them: each clique takes one label, its smallest."""
+    rows = [(a, b, 0) for g in (0, 10) for a in range(g, g + 6) for b in range(a + 1, g + 6)] + [(5, 10, 0)]
+    edges = graph.directed(spark.createDataFrame(rows, "u1 long, u2 long, time long"))
+    got = {r["user"]: r["label"] for r in partitioning.label_propagation(edges, 5).collect()}
+    assert {got[u] for u in range(6)} == {0} and {got[u] for u in range(10, 16)} == {10}
+    parts = {r["user"]: r["part"] for r in partitioning.spectral(edges, 2).collect()}
+    assert set(parts) == set(got) and set(parts.values()) <= {0, 1}
+
+
 def test_contact_sequence_data(spark):
     c = spark.createDataFrame([(0, 1, 1_000_000_010), (1, 2, 1_000_000_050)], "u1 long, u2 long, time long")
     data = synth.from_contact_sequence(spark, c, 1_000_000_000)

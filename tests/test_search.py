@@ -7,6 +7,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from emberline.functions import expr
 from emberline.operators import search
 from emberline.params import EARTH_RADIUS_METERS, SearchParams
@@ -153,3 +155,8 @@ def test_candidate_pairs_across_the_antimeridian_and_at_the_poles(spark):
     docs = spark.createDataFrame([(k, 0, lat, lon) for k, (lat, lon) in enumerate(places)], "user long, time long, lat double, lon double")
     assert sorted(map(tuple, search.candidate_pairs(docs, 30.0).collect())) == [(0, 1), (2, 3), (4, 5), (6, 7)]
     assert [tuple(r) for r in search.candidate_pairs(docs.where("user < 2"), 30.0).collect()] == [(0, 1)]
+
+
+def test_expected_reach_without_decay(spark):
+    r = spark.range(1).select(*[expr.expected_reach(F.lit(v), F.lit(f), F.lit(0.6), F.lit(t)).alias(n) for n, v, f, t in (("on", 0.5, 0.1, 1.0), ("off", 0.05, 0.1, 1.0), ("some", 0.5, 0.5, 0.8))]).first()
+    assert r["on"] == math.inf and r["off"] == 1.0 and r["some"] == pytest.approx(1 + math.log(0.48) / math.log(0.8))

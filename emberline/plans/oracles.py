@@ -195,6 +195,6 @@ ORACLES: dict[str, str] = {
     "membership_labels": f"WITH {EDGES}, l0 AS (SELECT DISTINCT src AS u, src AS label FROM edges)"
     + "".join(f", v{k} AS (SELECT e.src AS u, l.label, count(*) AS n FROM edges e JOIN l{k - 1} l ON l.u = e.dest GROUP BY 1, 2), l{k} AS (SELECT u, label FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1)" for k in (1, 2, 3))
     + ' SELECT u AS "user", label FROM l3',
-    "isolated_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "isolated_orders": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 60 * c_acctbal)",
     "islands_gaps": "WITH d AS (SELECT DISTINCT user_id, (epoch_us(ts) // 1000000) // 86400 AS day FROM events), k AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d) SELECT user_id, min(day) AS start, max(day) + 1 AS \"end\" FROM k GROUP BY user_id, g",
 }

@@ -7,8 +7,10 @@ the mean of log(target share / raw share) over its n-grams, with one added to ea
 is kept if it passes the base rules and its score is no less than the threshold, which is the
 LOST quantile of the scores of the trusted documents that pass the base rules.
 
-Trusted documents are those that labels marks with quality 1, TRUSTED of them at most, smallest hash
-of the id first: their ids are broadcast. The driver holds two counts for each bucket.
+Trusted documents are all those that labels marks with quality 1; their ids are joined with the texts
+by an exchange of both. Every text is scored once, and what came of
+it is written to the shared folder, from which the threshold is read at its two ranks. The driver holds two
+counts for each bucket.
 
 Null and empty texts have no words and fail. Without trusted documents the base rules alone decide.
 Rows are judged one by one, so repeated rows get equal results.
@@ -21,13 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import table
+from emberline.llm.common import release, stage, table
 
 #: White space, symbols, and the base rules' numbers.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-BUCKETS, TRUSTED, LOST = 8192, 20_000, 0.003
+BUCKETS, LOST = 8192, 0.003
 
 
 def _words(text: Column) -> Column:
@@ -50,7 +52,8 @@ def _positions(last: Column) -> Column:
 
 def bucket_counts(rows: DataFrame, trusted: DataFrame) -> list[tuple[int, int]]:
     """(raw, target) counts of the buckets; rows has _doc and _text."""
-    marked = rows.join(F.broadcast(trusted.withColumn("_target", F.lit(1))), "_doc", "left").select("_text", F.coalesce("_target", F.lit(0)).alias("_target"))
+    # an exchange at every size: ids are as many as the labels, so a broadcast would grow with them
+    marked = rows.join(trusted.withColumn("_target", F.lit(1)).hint("merge"), "_doc", "left").select("_text", F.coalesce("_target", F.lit(0)).alias("_target"))
     hashed = _with_hashes(marked)
     pairs = F.transform(_positions(F.size("_h") - 2), lambda i: _bucket(F.xxhash64(F.col("_h")[i], F.col("_h")[i + 1])))
     # explode() would have Spark test the array for rows first, and make it twice
@@ -108,33 +111,47 @@ def _scored(measured: DataFrame, table_of_ratios: list[float]) -> DataFrame:
     return measured.withColumn("llr", F.when(n > 0, (ones + twos) / F.greatest(2 * n - 1, F.lit(1)))).drop("_h")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_doc")).distinct()
-    return good.orderBy(F.xxhash64("_doc"), "_doc").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_doc")).distinct()
+
+
+def quantile(values: DataFrame, q: float) -> float | None:
+    """Exact quantile of the column llr, linear between ranks; only rows up to the rank leave a task, so q should be small."""
+    held = values.where("llr is not null")
+    n = held.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    low = math.floor(at)
+    found = [r["llr"] for r in held.select("llr").orderBy("llr").offset(low).limit(2).collect()]
+    return found[0] if at == low or found[0] == found[-1] else (low + 1 - at) * found[0] + (at - low) * found[-1]
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """_row (docs' columns) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
+    return _judge(docs, labels, docs.columns)
+
+
+def _judge(docs: DataFrame, labels: DataFrame, carried: list[str]) -> DataFrame:
+    """judge(), with the columns that are carried alone in _row."""
+    spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("_doc"), text.alias("_text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("_doc"), text.alias("_text"), F.struct(*[docs[f"`{c}`"] for c in carried]).alias("_row"))
     trusted = trusted_ids(labels)
-    slim = rows.select("_doc", "_text")
-    lut = ratios(bucket_counts(slim, trusted))
-    sample = _scored(_measured(slim.join(F.broadcast(trusted), "_doc", "left_semi")), lut)
-    threshold = sample.agg(F.percentile(F.when(~F.col("base_failed"), F.col("llr")), F.lit(LOST))).first()[0]
-    scored = _scored(_measured(rows.drop("_doc")), lut)
+    lut = ratios(bucket_counts(rows.select("_doc", "_text"), trusted))
+    release(spark)  # the texts' exchange
+    scored = stage(_scored(_measured(rows), lut), "quality")
+    threshold = quantile(scored.where("not base_failed").select("_doc", "llr").join(trusted, "_doc", "left_semi"), LOST)
     passes = F.lit(True) if threshold is None else F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return scored.withColumn("kept", ~F.col("base_failed") & passes)
+    return scored.drop("_doc").withColumn("kept", ~F.col("base_failed") & passes)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    # the filter stays above what it is computed from: pushed down, it would compute that again inside itself
-    held = judge(docs, labels).withColumn("_at", F.monotonically_increasing_id())
-    return held.where("kept and _at >= 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return judge(docs, labels).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = judge(docs, table(spark, sf_dir, "labels"))
+    judged = _judge(docs, table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select(F.col("_row")["doc_id"].cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")

@@ -350,6 +350,20 @@ def test_quality(nasty, empty, labels):
     assert "Python" not in judged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(20_300).selectExpr("id AS _doc", "concat('a', id % 7, ' b') AS _text")
+    trusted = quality.trusted_ids(docs.selectExpr("_doc AS doc_id", "1 AS quality"))
+    assert all(r == t for r, t in quality.bucket_counts(docs, trusted))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 333, 334, 335, 1500])
+def test_threshold_is_the_exact_quantile(spark, n):
+    values = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "llr double")
+    want = float(np.quantile(values, quality.LOST)) if n else None
+    assert quality.quantile(rows, quality.LOST) == (pytest.approx(want, abs=1e-12) if n else None)
+
+
 # --- 7 ---
 
 

@@ -6,8 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from emberline.operators import graph
 from emberline.plans.oracles import ORACLES
 from emberline.plans.queries import QUERIES
 
@@ -61,3 +63,18 @@ def test_harmonic_divides_by_the_graph_s_own_size(spark, small_dir):
     assert got == pytest.approx(want, abs=1e-6)
     stats = QUERIES["graph_stats"](spark, small_dir).first()
     assert stats["nodes"] == len(near) and stats["efficiency"] == pytest.approx(sum(want.values()) / len(want), abs=1e-5)
+
+
+@pytest.mark.parametrize("block", [3, 64, 1024])
+def test_level_counts_equal_distances(spark, block):
+    pairs = [(k, (k * 5 + 2) % 90) for k in range(90)] + [(k, k + 1) for k in range(200, 240)] + [(-7, 1 << 40)]
+    edges = graph.directed(spark.createDataFrame(pairs, "u1 long, u2 long").withColumn("time", F.lit(0)))
+    want = {(r["source"], r["dist"]): r["count"] for r in graph.distances(edges).groupBy("source", "dist").count().collect()}
+    got = {(r["source"], r["dist"]): r["n"] for r in graph.level_counts(edges, block).collect()}
+    assert got == want and max(d for _, d in got) == 40
+    assert graph.level_counts(edges.limit(0)).count() == 0
+
+
+def test_harmonic_makes_no_row_for_a_pair(spark, small_dir):
+    plan = QUERIES["harmonic"](spark, small_dir)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan

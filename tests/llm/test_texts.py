@@ -15,6 +15,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from emberline.llm import fingerprints, quality, secret_scan, substring_dedup, toxicity
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -356,6 +357,14 @@ def test_every_trusted_document_counts(spark):
     assert all(r == t for r, t in quality.bucket_counts(docs, trusted))
 
 
+def test_pipeline_trusts_all_labels(spark, nasty, tmp_path, monkeypatch):
+    spark.range(20_300).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, counts = [], quality.bucket_counts
+    monkeypatch.setattr(quality, "bucket_counts", lambda rows, trusted: seen.append(trusted.count()) or counts(rows, trusted))
+    corpus_pipeline.quality_rules(spark, nasty, str(tmp_path))
+    assert seen == [20_300]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 333, 334, 335, 1500])
 def test_threshold_is_the_exact_quantile(spark, n):
     values = np.random.default_rng(n).normal(size=n)

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from emberline.functions import expr
-from emberline.operators import search
+from emberline.operators import meetings, search
 from emberline.params import EARTH_RADIUS_METERS, SearchParams
+from emberline.plans.queries import QUERIES
 
 
 def dense(h1, h2, tol, min_dur):
@@ -160,3 +161,31 @@ def test_candidate_pairs_across_the_antimeridian_and_at_the_poles(spark):
 def test_expected_reach_without_decay(spark):
     r = spark.range(1).select(*[expr.expected_reach(F.lit(v), F.lit(f), F.lit(0.6), F.lit(t)).alias(n) for n, v, f, t in (("on", 0.5, 0.1, 1.0), ("off", 0.05, 0.1, 1.0), ("some", 0.5, 0.5, 0.8))]).first()
     assert r["on"] == math.inf and r["off"] == 1.0 and r["some"] == pytest.approx(1 + math.log(0.48) / math.log(0.8))
+
+
+@pytest.mark.parametrize("block", [2, 5, 640])
+def test_meetings_equal_overlaps_and_islands(spark, block, monkeypatch):
+    """One row for each pair, whatever the blocks; a task makes no row for an overlap."""
+    rng = random.Random(8)
+    rows = [(u - 3, 60 * k + rng.randrange(70), 40.0 + rng.randrange(4) * 0.0005, -81.0 + rng.randrange(3) * 0.0005 + (u % 4) // 3 * 0.5) for u in range(16) for k in range(rng.randrange(1, 25))]
+    segs = search.segments(locations(spark, rows))
+    monkeypatch.setattr(meetings, "ARRAY", 40 if block == 5 else 1 << 18)
+    p = SearchParams(min_dur=50, radius=1.0, tol=60.0, bucket=600)
+    want = {}
+    for u1, u2, s, e in map(tuple, search.overlaps(segs, p).collect()):
+        want.setdefault((u1, u2), [[], []])[0].append((s, e))
+    for u1, u2, s, e in map(tuple, search.islands(search.overlaps(segs, p)).collect()):
+        want[u1, u2][1].append((s, e))
+    found = meetings.meetings(segs, p, block)
+    got = {(r[0], r[1]): tuple(r[2:]) for r in found.collect()}
+    assert found.count() == len(got) > 20
+    assert got == {
+        k: (len(o), sum(e - s for s, e in o), min(o)[0], max(e for _, e in o), len(i), max(e - s for s, e in i), max(i)[0], max((s for s, e in i if e - s >= 50), default=None)) for k, (o, i) in want.items()
+    }
+    assert meetings.meetings(segs.limit(0), p).count() == 0
+
+
+@pytest.mark.parametrize("name", ["islands"])
+def test_no_row_for_an_overlap(spark, small_dir, name):
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "greatest(" not in plan

@@ -185,7 +185,7 @@ def test_meetings_equal_overlaps_and_islands(spark, block, monkeypatch):
     assert meetings.meetings(segs.limit(0), p).count() == 0
 
 
-@pytest.mark.parametrize("name", ["islands", "segment_overlaps", "proximal_segments"])
+@pytest.mark.parametrize("name", ["islands", "segment_overlaps", "proximal_segments", "contacts"])
 def test_no_row_for_an_overlap(spark, small_dir, name):
     plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "greatest(" not in plan

@@ -2,37 +2,165 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.expr import expected_reach
 from emberline.lineage import cut, spread
 from emberline.operators.analysis import sem
-from emberline.operators.propagation import initial_scores, limits
+from emberline.operators.propagation import initial_scores
 from emberline.params import PropagationParams
 
+SOURCES, PACK, WORDS, ROWS = 2048, 1 << 17, 1 << 19, 4096
 
-def reach(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """(source, user, dist) by levels. The value at a level follows from the source's by repeated attenuation, so
-    the frontier is deduplicated on (source, user) alone."""
-    arcs = cut(spread(limits(scores, edges, p), "src"))
-    start = initial_scores(scores)
-    if sources is not None:
-        start = start.join(sources.select("user").distinct(), "user", "left_semi")
-    frontier = cut(start.select(F.col("user").alias("source"), "user", F.col("init_val").alias("val"), F.col("init_time").alias("time"), F.lit(0).alias("dist")))
-    seen = cut(spread(frontier.select("source", "user", "dist"), "source", "user"))
-    hop = 0
-    while max_hops is None or hop < max_hops:
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """Arcs as arrays, those of one user together; four bytes for each number where that is enough."""
+    order = np.argsort(rows["dest"].to_numpy(), kind="stable")
+    columns = [rows[c].to_numpy()[order] for c in ("src", "dest", "ctime")]
+    out = []
+    for k in range(0, len(order), PACK):
+        part = [c[k : k + PACK] for c in columns]
+        small = [x.astype("i4") if -(1 << 31) <= x.min() and x.max() < 1 << 31 else x for x in part]
+        out.append({"n": len(part[0])} | dict(zip(("src", "dest", "ctime"), (x.tobytes() for x in small), strict=True)))
+    return pa.Table.from_pylist(out, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("src", "dest", "ctime"))]))
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as rows of whole words."""
+    wide = np.zeros((len(flags), -(-flags.shape[1] // 64) * 64), bool)
+    wide[:, : flags.shape[1]] = flags
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+
+
+def _flags(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(words.view("u1"), axis=1, count=n, bitorder="little").view(bool)
+
+
+def _search(rows: pa.Table, key: int, transmission: float, buffer: int, max_hops: int | None) -> pa.Table:
+    """All levels from the sources of block key at once, a bit for each in a row for each user. Sources stand in order of time, so
+    those whose message is early enough for a contact are a prefix."""
+    packed = rows["n"].is_valid()
+    users = rows.filter(pa.compute.invert(packed)).select(["user", "val", "time", "least", "home"])
+    by_user = np.argsort(users["user"].to_numpy())
+    user, val, time, least, home = (users[c].to_numpy()[by_user] for c in ("user", "val", "time", "least", "home"))
+    of = np.flatnonzero(home == key)
+    of = of[np.argsort(time[of], kind="stable")]
+    packs = []
+    for k in np.flatnonzero(packed.to_numpy()):
+        size = rows["n"][k].as_py()
+        src, dest, ctime = (np.frombuffer(x, "i4" if x.size == 4 * size else "i8") for x in (rows[c][k].as_buffer() for c in ("src", "dest", "ctime")))
+        at = np.searchsorted(user, src)
+        known = np.flatnonzero(user[np.minimum(at, len(user) - 1)] == src) if len(user) else np.zeros(0, "i8")
+        packs.append((at[known].astype("i4"), dest[known].astype("i8" if dest.itemsize == 8 else "i4"), np.searchsorted(time[of], ctime[known].astype("i8") + buffer, "right").astype("i4")))
+    nodes = np.unique(np.concatenate([user, *(np.unique(dest) for _, dest, _ in packs)]))
+    packs = [(src, np.searchsorted(nodes, dest).astype("i4"), upto) for src, dest, upto in packs]
+    home_of = np.full(len(nodes), -1)
+    node = np.searchsorted(nodes, user)
+    home_of[node] = home
+    n = len(of)
+    prefix = _bits(np.arange(n)[None, :] < np.arange(n + 1)[:, None])
+    in_time = _bits(time[of][None, :] <= time[:, None])
+    frontier, words = np.zeros((len(nodes), prefix.shape[1]), "<u8"), max(1, prefix.shape[1])
+    frontier[node[of], np.arange(n) // 64] = np.uint64(1) << (np.arange(n) % 64).astype("u8")
+    seen, sent, hop, out = frontier.copy(), val[of].copy(), 0, []
+    while n and (max_hops is None or hop < max_hops):
         hop += 1
-        sent = frontier.select("source", F.col("user").alias("src"), (F.col("val") * p.transmission).alias("val"), "time").join(arcs, "src")
-        sent = sent.where(F.col("time") <= F.col("ctime") + p.time_buffer).where("val >= least and time <= latest")
-        # rows of one source and level are alike in value and time
-        arrived = sent.groupBy("source", F.col("dest").alias("user")).agg(F.first("val").alias("val"), F.first("time").alias("time"))
-        frontier = cut(arrived.join(seen, ["source", "user"], "left_anti").withColumn("dist", F.lit(hop)))
-        if frontier.isEmpty():
+        sent = sent * transmission
+        sends = frontier[node] & in_time
+        live = np.flatnonzero(sends.any(axis=1))
+        for k in range(0, len(live), 1024):
+            sends[live[k : k + 1024]] &= _bits(sent[None, :] >= least[live[k : k + 1024], None])
+        active, came, step = sends.any(axis=1), np.zeros_like(frontier), max(1, WORDS // words)
+        for src, dest, upto in packs:
+            use = np.flatnonzero(active[src] & (upto > 0))
+            for k in range(0, len(use), step):
+                arcs = use[k : k + step]
+                to = dest[arcs]
+                first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                came[to[first]] |= np.bitwise_or.reduceat(sends[src[arcs]] & prefix[upto[arcs]], first, axis=0)
+        frontier = came & ~seen
+        hit = np.flatnonzero(frontier.any(axis=1))
+        if not len(hit):
             break
-        seen = seen.unionByName(frontier.select("source", "user", "dist"))
-    return seen.where("dist > 0")
+        seen |= frontier
+        for h in np.unique(home_of[hit]):
+            some = hit[home_of[hit] == h]
+            for k in range(0, len(some), ROWS):
+                part = some[k : k + ROWS]
+                out.append({"block": key, "home": int(h), "dist": hop, "sources": user[of].tobytes(), "users": nodes[part].astype("i8").tobytes(), "bits": frontier[part].tobytes()})
+    return pa.Table.from_pylist(out, pa.schema([("block", pa.int32()), ("home", pa.int32()), ("dist", pa.int32()), *((c, pa.binary()) for c in ("sources", "users", "bits"))]))
+
+
+def _decoded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sources, users, and for each user of which sources a message came."""
+    sources, users = np.frombuffer(row["sources"], "i8"), np.frombuffer(row["users"], "i8")
+    return sources, users, _flags(np.frombuffer(row["bits"], "<u8").reshape(len(users), -1), len(sources))
+
+
+def levels(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: DataFrame | None = None, max_hops: int | None = None, block: int = SOURCES) -> DataFrame:
+    """(block, home, dist, sources, users, bits): which of a block's sources reach which users of another block at a level; home is
+    -1 for users that are no source. The value at a level follows from the source's by repeated attenuation, so a level is a
+    set of bits. Each task has all arcs, packed as arrays, and searches from the sources of one block; no pair is a row."""
+    spark = scores.sparkSession
+    first = initial_scores(scores).where("user is not null and init_val is not null and init_time is not null")
+    first = first.select(F.col("user").cast("long").alias("user"), F.col("init_val").cast("double").alias("val"), F.col("init_time").cast("long").alias("time"))
+    wanted = first.select("user") if sources is None else first.join(sources.select(F.col("user").cast("long").alias("user")).distinct(), "user", "left_semi").select("user")
+    count = wanted.count()
+    blocks = max(1, math.ceil(count / block), min(math.ceil(count / 64), spark.sparkContext.defaultParallelism))
+    homes = wanted.select("user", F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int").alias("home"))
+    users = cut(first.withColumn("least", F.col("val") * p.transmission * p.tol).join(homes, "user", "left").withColumn("home", F.coalesce("home", F.lit(-1))))
+    arcs = edges.where("src is not null and dest is not null and ctime is not null").select(*[F.col(c).cast("long").alias(c) for c in ("src", "dest", "ctime")])
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread(arcs.withColumn("g", F.pmod(F.xxhash64("dest"), F.lit(groups))), "g")
+    packs = cut(dealt.groupBy("g").applyInArrow(lambda t: _pack(t), "n long, src binary, dest binary, ctime binary"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    rows = users.select(every, "*").unionByName(packs.select(every, "*"), allowMissingColumns=True).repartition(max(groups, min(8 * blocks, 1024)), "block")
+    transmission, buffer = p.transmission, p.time_buffer
+    schema = "block int, home int, dist int, sources binary, users binary, bits binary"
+    return rows.groupBy("block").applyInArrow(lambda key, t: _search(t, key[0].as_py(), transmission, buffer, max_hops), schema)
+
+
+def reach(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
+    """(source, user, dist): the fewest hops at which a source's first message can arrive."""
+
+    def expand(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                of, users, came = _decoded(row)
+                for k in range(0, len(users), 64):
+                    i, j = np.nonzero(came[k : k + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(of[j]), pa.array(users[k + i]), pa.array(np.full(len(i), row["dist"], "i4"))], ["source", "user", "dist"])
+
+    return levels(scores, edges, p, sources, max_hops).mapInArrow(expand, "source long, user long, dist int")
+
+
+def _joined(rows: pa.Table) -> pa.Table:
+    """Of two blocks: how many unordered pairs are reached, either way."""
+    parts = [(row["block"], row["home"], *_decoded(row)) for row in rows.to_pylist()]
+    block, home = parts[0][:2]
+    a = np.unique(np.concatenate([x for k, h, sources, users, _ in parts for x in ((sources,) if k == block else ()) + ((users,) if h == block else ())]))
+    b = np.unique(np.concatenate([x for k, h, sources, users, _ in parts for x in ((sources,) if k == home else ()) + ((users,) if h == home else ())]))
+    met = np.zeros((len(a), len(b)), bool)
+    for k, h, sources, users, came in parts:
+        if k == block and h == home:
+            met[np.ix_(np.searchsorted(a, sources), np.searchsorted(b, users))] |= came.T
+        if h == block and k == home:
+            met[np.ix_(np.searchsorted(a, users), np.searchsorted(b, sources))] |= came
+    return pa.table({"n": [int(met.sum()) // (2 if block == home else 1)]})
+
+
+def ratio_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ratio() from levels(): the blocks' bits meet, not their pairs."""
+    keyed = found.withColumn("low", F.least("block", "home")).withColumn("high", F.greatest("block", "home"))
+    n = keyed.groupBy("low", "high").applyInArrow(lambda rows: _joined(rows), "n long")
+    out = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("actual")).crossJoin(nodes.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)).alias("ideal")))
+    return out.withColumn("ratio_compat", F.try_divide(F.col("actual"), F.col("ideal")))
 
 
 def comparison(scores: DataFrame, reached: DataFrame, p: PropagationParams) -> DataFrame:

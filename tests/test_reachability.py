@@ -53,7 +53,7 @@ def test_levels_equal_single_searches(spark, block, monkeypatch):
     assert near == {k: v for k, v in want.items() if k[0] in ids[:7] and v < 3}
 
 
-@pytest.mark.parametrize("name", ["reach", "reach_stats", "reach_hist", "reach_comparison"])
+@pytest.mark.parametrize("name", ["reach", "reach_stats", "reach_hist", "reach_comparison", "reach_ratio"])
 def test_no_join_for_a_level(spark, small_dir, name):
     plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().toString()
     assert "LeftAnti" not in plan and "FlatMapGroupsInArrow" in plan

@@ -189,3 +189,17 @@ def test_meetings_equal_overlaps_and_islands(spark, block, monkeypatch):
 def test_no_row_for_an_overlap(spark, small_dir, name):
     plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "greatest(" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 4, 2048])
+def test_candidates_by_blocks(spark, block):
+    """Each pair once, from a task of two blocks; none is made distinct."""
+    rng = random.Random(6)
+    rows = [(u * 7 - 30, k, 40.0 + rng.randrange(6) * 1e-5, -81.0 + rng.randrange(4) * 0.01) for u in range(15) for k in range(3)]
+    locs = locations(spark, rows)
+    want = {(a, b) for a, _, x, y in rows for b, _, v, w in rows if a < b and y == w and EARTH_RADIUS_METERS * abs(math.radians(x - v)) <= 1.2}
+    own, followed = search._points(locs, 1.2)
+    found = meetings.candidates(followed, own, block)
+    assert sorted((r["u1"], r["u2"]) for r in found.collect()) == sorted(want) and 10 < len(want) < 105
+    assert "Aggregate" not in search.candidate_pairs(locs, 1.2)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert search.candidate_pairs(locs.limit(0), 1.2).count() == 0

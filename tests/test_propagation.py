@@ -136,3 +136,18 @@ def test_summaries(spark):
     r = propagation.weighted_summary(w).first()
     assert (r["runtime"], r["messages"], r["nodes"], r["updates"]) == (3.0, 12, 6, 4) and r["avg_update"] == pytest.approx(0.4)
     assert propagation.weighted_summary(w.withColumn("updates", w["updates"] * 0)).first()["avg_update"] == 0
+
+
+def test_eligible_summary_makes_no_row_for_a_score_and_edge(spark):
+    rng = random.Random(4)
+    scores = [(u, rng.random(), rng.randrange(12) * D) for u in range(9) for _ in range(rng.randrange(5))] + [(3, 0.5, None), (4, None, 0)]
+    contacts = [(rng.randrange(11), rng.randrange(11), rng.randrange(9) * D) for _ in range(50)]
+    s, c = frames(spark, scores, contacts)
+    edges = graph.directed(c)
+    want = {}
+    for r in propagation.eligible_scores(s, edges, P).collect():
+        want.setdefault((r["src"], r["dest"]), []).append((r["val"], r["time"]))
+    found = propagation.eligible_summary(s, edges, P)
+    got = {(r["src"], r["dest"]): (r["n"], r["top"], r["latest"]) for r in found.collect()}
+    assert got == {k: (len(v), max((x for x, _ in v if x is not None), default=None), max(t for _, t in v)) for k, v in want.items()} and len(got) > 20
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

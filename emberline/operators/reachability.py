@@ -140,6 +140,20 @@ def reach(scores: DataFrame, edges: DataFrame, p: PropagationParams, sources: Da
     return levels(scores, edges, p, sources, max_hops).mapInArrow(expand, "source long, user long, dist int")
 
 
+def sizes(found: DataFrame) -> DataFrame:
+    """(source, dist, n) from levels(): how many users each source reaches first at a level, counted from the bits; no pair is a row."""
+
+    def count(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                of, _, came = _decoded(row)
+                n = came.sum(axis=0, dtype="i8")
+                hit = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(of[hit]), pa.array(np.full(len(hit), row["dist"], "i4")), pa.array(n[hit])], ["source", "dist", "n"])
+
+    return found.mapInArrow(count, "source long, dist int, n long").groupBy("source", "dist").agg(F.sum("n").alias("n"))
+
+
 def _joined(rows: pa.Table) -> pa.Table:
     """Of two blocks: how many unordered pairs are reached, either way."""
     parts = [(row["block"], row["home"], *_decoded(row)) for row in rows.to_pylist()]

@@ -48,6 +48,10 @@ def test_levels_equal_single_searches(spark, block, monkeypatch):
     assert row["actual"] == pairs == reachability.ratio(reachability.reach(s, edges, p), graph.vertices(edges)).first()["actual"]
     rows = reachability.reach(s, edges, p).collect()
     assert len(rows) == len(want) > 500 and {(r["source"], r["user"]): r["dist"] for r in rows} == want and max(want.values()) > 3
+    counted = {}
+    for (source, _), k in want.items():
+        counted[source, k] = counted.get((source, k), 0) + 1
+    assert {(r["source"], r["dist"]): r["n"] for r in reachability.sizes(found).collect()} == counted
     some = spark.createDataFrame([(u,) for u in ids[:7]], "user long")
     near = {(r["source"], r["user"]): r["dist"] for r in reachability.reach(s, edges, p, some, 2).collect()}
     assert near == {k: v for k, v in want.items() if k[0] in ids[:7] and v < 3}
@@ -59,6 +63,12 @@ def test_no_join_for_a_level(spark, small_dir, name):
     assert "LeftAnti" not in plan and "FlatMapGroupsInArrow" in plan
 
 
+@pytest.mark.parametrize("name", ["reach_stats"])
+def test_counts_make_no_row_for_a_pair(spark, small_dir, name):
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow count(" in plan and "MapInArrow expand(" not in plan
+
+
 def test_nobody(spark):
     s, c = spark.createDataFrame([(1, 0.5, 0), (2, None, 0)], "user long, val double, time long"), spark.createDataFrame([(1, 2, 0)], "u1 long, u2 long, time long")
     assert [tuple(r) for r in reachability.reach(s, graph.directed(c), PropagationParams()).collect()] == [(1, 2, 1)]

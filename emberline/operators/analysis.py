@@ -140,9 +140,9 @@ def combined_error(column: Column | str) -> Column:
     return F.sqrt(F.sum(col(column) * col(column))) / F.count(col(column))
 
 
-def histogram(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Share of each value in its group."""
-    counted = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+def histogram(df: DataFrame, by: list[str], column: str, count: str | None = None) -> DataFrame:
+    """Share of each value in its group. count: a column that says for how many rows a row stands."""
+    counted = df.groupBy(*by, column).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 

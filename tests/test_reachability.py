@@ -63,7 +63,7 @@ def test_no_join_for_a_level(spark, small_dir, name):
     assert "LeftAnti" not in plan and "FlatMapGroupsInArrow" in plan
 
 
-@pytest.mark.parametrize("name", ["reach_stats", "reach_hist"])
+@pytest.mark.parametrize("name", ["reach_stats", "reach_hist", "reach_comparison"])
 def test_counts_make_no_row_for_a_pair(spark, small_dir, name):
     plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow count(" in plan and "MapInArrow expand(" not in plan

@@ -75,3 +75,39 @@ def test_nobody(spark):
     assert reachability.reach(s.limit(0), graph.directed(c), PropagationParams()).count() == 0
     assert reachability.reach(s, graph.directed(c).limit(0), PropagationParams()).count() == 0
     assert reachability.ratio_of(reachability.levels(s, graph.directed(c).limit(0), PropagationParams()), s.select("user")).first()["actual"] == 0
+
+
+@pytest.mark.parametrize("block", [3, 70, 2048])
+def test_meetings_equal_their_contacts(spark, block, monkeypatch):
+    monkeypatch.setattr(reachability, "TURN", 7)
+    rng = random.Random(5)
+    ids = [k * 3 - 40 for k in range(90)] + [1 << 40]
+    scores = [(u, rng.choice([0.0, 0.4, 0.5, 1.0]), rng.randrange(8) * D) for u in ids for _ in range(2)]
+    met = [(rng.choice("abc"), rng.randrange(45) * D // 6, rng.choice([*ids, 7_000])) for _ in range(330)]
+    met += [("hot", 2 * D, u) for u in ids[:40]] + [("alone", 9 * D, ids[0]), (None, 9 * D, ids[1]), (None, 9 * D, ids[2]), ("a", 9 * D, None), ("a", None, ids[3])]
+    contacts = [(a, b, t) for x, t, a in met for y, s, b in met if x == y and t == s and None not in (x, t, a, b) and a < b]
+    p = PropagationParams(tol=0.3, transmission=0.8)
+    s, m = spark.createDataFrame(scores, "user long, val double, time long"), spark.createDataFrame(met, "place string, time long, user long")
+    want = hops(scores, contacts, p)
+    rows = reachability.reach_over(s, m, p, block=block).collect()
+    assert len(rows) == len(want) > 500 and {(r["source"], r["user"]): r["dist"] for r in rows} == want and max(want.values()) > 2
+    counted = {}
+    for (source, _), k in want.items():
+        counted[source, k] = counted.get((source, k), 0) + 1
+    assert {(r["source"], r["dist"]): r["n"] for r in reachability.sizes(reachability.counts_over(s, m, p, block)).collect()} == counted
+    nodes = {x for a, b, _ in contacts for x in (a, b)}
+    row = reachability.ratio_of(reachability.reached_over(s, m, p, block), reachability.met_users(m)).first()
+    assert row["actual"] == len({(min(k), max(k)) for k in want}) and row["ideal"] == len(nodes) * (len(nodes) - 1)
+    some = spark.createDataFrame([(u,) for u in ids[:7]], "user long")
+    near = {(r["source"], r["user"]): r["dist"] for r in reachability.reach_over(s, m, p, some, 2).collect()}
+    assert near == {k: v for k, v in want.items() if k[0] in ids[:7] and v < 3}
+    assert reachability.reach_over(s, m.limit(0), p).count() == 0 == reachability.reach_over(s.limit(0), m, p).count()
+
+
+@pytest.mark.parametrize("name", ["reach", "reach_stats", "reach_hist", "reach_comparison", "reach_ratio"])
+def test_no_row_for_a_contact(spark, small_dir, name, monkeypatch):
+    def made(*args):
+        raise AssertionError("contacts are made")
+
+    monkeypatch.setattr(graph, "collapse", made)
+    assert QUERIES[name](spark, small_dir).count() > 0
